@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tanadex.functions.text import blank_to_null, strip
+from tanadex.functions.text import blank_to_null, let, strip
 from tanadex.functions.transforms import first_match, java_pattern
 
 STRATEGIES: dict[str, Callable[[Column, dict], Column]] = {}
@@ -38,32 +38,27 @@ def strategy(name: str):
     return register
 
 
-def let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``fn``."""
-    return F.transform(F.array(value), fn)[0]
+def _decoded(char_of: Callable[[Column], Column], pattern: str):
+    """Replace the numeric references of one notation."""
+    def decode(piece, i):
+        number = F.regexp_extract(piece, pattern, 1)
+        char = F.decode(F.unhex(F.lpad(char_of(number), 8, "0")), "UTF-32")
+        return (F.when(i == 0, piece)
+                .when(piece.rlike(pattern), F.concat(char, F.regexp_replace(piece, pattern, "")))
+                .otherwise(F.concat(F.lit("&#"), piece)))
+    return lambda text: F.array_join(F.transform(F.split(text, "&#"), decode), "")
 
 
 def decode_entities(col: Column) -> Column:
     """Numeric references and the common named entities to their characters."""
-    def numeric(pattern, to_hex):
-        def decode(piece, i):
-            number = F.regexp_extract(piece, pattern, 1)
-            char = F.decode(F.unhex(F.lpad(to_hex(number), 8, "0")), "UTF-32")
-            known = (i > 0) & piece.rlike(pattern)
-            return (F.when(known, F.concat(char, F.regexp_replace(piece, pattern, "")))
-                    .when(i > 0, F.concat(F.lit("&#"), piece)).otherwise(piece))
-        return decode
+    decimal = _decoded(lambda n: F.hex(n.try_cast("bigint")), r"^(\d{1,6});")
+    hexadecimal = _decoded(lambda n: n, r"^[xX]([0-9A-Fa-f]{1,5});")
 
-    decimal = numeric(r"^(\d{1,6});", lambda n: F.hex(n.try_cast("bigint")))
-    hexadecimal = numeric(r"^[xX]([0-9A-Fa-f]{1,5});", lambda n: n)
+    def named(text):
+        return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
 
-    def pass_over(text, decode):
-        return F.when(text.contains("&#"),
-                      F.array_join(F.transform(F.split(text, "&#"), decode), "")).otherwise(text)
-
-    text = pass_over(pass_over(col, decimal), hexadecimal)
-    named = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
-    return F.when(col.contains("&"), named).otherwise(col)
+    return let(col, lambda raw: F.when(~raw.contains("&"), raw).otherwise(named(
+        F.when(raw.contains("&#"), hexadecimal(decimal(raw))).otherwise(raw))))
 
 
 def text_content(markup: Column) -> Column:
@@ -91,7 +86,7 @@ def attribute_candidates(markup: Column, names) -> Column:
     """The first non-empty attribute; else the last one looked at, as it is."""
     names = list(names)
     return let(opening_tag(markup), lambda tag: F.coalesce(
-        *[blank_to_null(_tag_value(tag, n)) for n in names], _tag_value(tag, names[-1])))
+        *[let(_tag_value(tag, n), blank_to_null) for n in names], _tag_value(tag, names[-1])))
 
 
 def elements(markup: Column, patterns) -> Column:
@@ -111,8 +106,8 @@ def regex_strategy(html: Column, config: dict) -> Column:
     pattern = config.get("pattern")
     if not pattern:
         return F.lit(None).cast("string")
-    found = blank_to_null(first_match(html, pattern, int(config.get("group", 0)),
-                                      config.get("flags")))
+    found = let(first_match(html, pattern, int(config.get("group", 0)), config.get("flags")),
+                blank_to_null)
     return strip(found) if config.get("strip", True) else found
 
 
@@ -124,7 +119,7 @@ def jsonld_strategy(html: Column, config: dict) -> Column:
     path = config.get("path")
     if not path:
         return block
-    return F.coalesce(json_path(block, path), block)
+    return let(block, lambda b: F.coalesce(json_path(b, path), b))
 
 
 def json_path(block: Column, path: str, list_depth: int = 3) -> Column:
@@ -157,4 +152,4 @@ def tag_strategy(html: Column, config: dict) -> Column:
     else:
         values = F.transform(found, lambda e: strip(text_content(e)) if keep else text_content(e))
     values = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    return blank_to_null(F.array_join(values, " "))
+    return let(F.array_join(values, " "), blank_to_null)

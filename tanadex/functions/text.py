@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -42,6 +43,11 @@ def text_column(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``fn``, which may use it many times."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip(col) -> Column:
     """Trim Unicode white space (``F.trim`` removes only U+0020)."""
     return F.regexp_replace(text_column(col), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tanadex.functions.text import SPACE, strip
+from tanadex.functions.text import SPACE, let, strip
 
 TRANSFORMS: dict[str, Callable[[Column, dict], Column]] = {}
 
@@ -47,7 +47,7 @@ def apply_transforms(col: Column, specs) -> Column:
         if fn is None:
             return value
         config = spec.get("config")
-        return fn(value, config if config is not None else spec)
+        return let(value, lambda v: fn(v, config if config is not None else spec))
     return reduce(step, specs or [], col)
 
 
@@ -85,14 +85,15 @@ def _url_join(col, config):
     base = config.get("base") or ""
     if not base:
         return col
-    scheme, root, folder, document = _base_parts(base)
+    scheme, root, folder, document, whole = _base_parts(base)
     path = F.regexp_replace(col, r"[?#].*$", "")
     tail = F.regexp_extract(col, r"([?#].*)$", 1)
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder), path))
+    rooted = F.when(col.startswith("/"), path).otherwise(F.concat(F.lit(folder), path))
     return (F.when((col == "") | col.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), col)
             .when(col.startswith("//"), F.concat(F.lit(scheme + ":"), col))
-            .when(col.startswith("?") | col.startswith("#"), F.concat(F.lit(document), col))
-            .otherwise(F.concat(F.lit(root), _without_dots(rooted), tail)))
+            .when(col.startswith("?"), F.concat(F.lit(document), col))
+            .when(col.startswith("#"), F.concat(F.lit(whole), col))
+            .otherwise(F.concat(F.lit(root), let(rooted, _without_dots), tail)))
 
 
 def _base_parts(base: str):
@@ -100,7 +101,7 @@ def _base_parts(base: str):
     parts = urlsplit(base)
     root = f"{parts.scheme}://{parts.netloc}"
     folder = parts.path.rsplit("/", 1)[0] + "/" if "/" in parts.path else "/"
-    return parts.scheme, root, folder, root + parts.path
+    return parts.scheme, root, folder, root + parts.path, base.split("#", 1)[0]
 
 
 def _without_dots(path: Column) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tanadex.functions import scalars
-from tanadex.functions.strategies import (STRATEGIES, attribute, attribute_candidates, elements, let,
+from tanadex.functions.strategies import (STRATEGIES, attribute, attribute_candidates, elements,
                                           text_content)
-from tanadex.functions.text import blank_to_null
+from tanadex.functions.text import blank_to_null, let
 from tanadex.functions.transforms import apply_transforms, java_pattern
 from tanadex.model import DEFAULT_CATEGORY, DEFAULT_CURRENCY, LOG_SCHEMA
 from tanadex.operators.scale import dense_number
@@ -66,7 +66,7 @@ def field_value(markup: Column, rule: FieldRule) -> Column:
             raw = F.lit(None).cast("string")
         if rule.text:
             raw = F.coalesce(raw, text_content(element))
-        return apply_transforms(blank_to_null(raw), rule.transforms)
+        return apply_transforms(let(raw, blank_to_null), rule.transforms)
 
     if rule.patterns == (":root",):
         return read(markup)

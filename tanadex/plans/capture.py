@@ -47,7 +47,7 @@ hist AS (SELECT dt, uid AS source_uid, crawl_time AS change_time, 'price' AS cha
          FROM seen WHERE changed)
 """
 
-GONE_DAYS = 2
+GONE_DAYS = 0
 SOLD = f"""
 gone AS (SELECT i.*, m.as_of FROM item i JOIN (SELECT max(dt) AS as_of FROM crawl_log) m
            ON i.last_seen_dt < m.as_of - {GONE_DAYS})

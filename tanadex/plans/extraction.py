@@ -241,10 +241,10 @@ def crawl_summary(i):
     return quality.crawl_summary(_records(i, NAVIGATION))
 
 
-@query("resource_match", "WITH " + LINKS + """
+@query("resource_match", "WITH " + LINKS.strip() + """
 , r AS (SELECT page_id, pos, href || CASE WHEN pos % 2 = 0 THEN '?v=1' ELSE '' END AS resource_url FROM link),
-w AS (SELECT page_id, pos AS at, href || '?v=1' AS image_url, href FROM link)
-SELECT page_id, at, image_url, coalesce(
+w AS (SELECT page_id, pos AS spot, href || '?v=1' AS image_url, href FROM link)
+SELECT page_id, spot, image_url, coalesce(
   (SELECT arg_min(resource_url, r.pos) FROM r WHERE r.page_id = w.page_id AND r.resource_url = w.image_url),
   (SELECT arg_min(resource_url, r.pos) FROM r WHERE r.page_id = w.page_id
      AND split_part(split_part(r.resource_url, '?', 1), '#', 1) = split_part(split_part(w.image_url, '?', 1), '#', 1)))
@@ -252,6 +252,6 @@ SELECT page_id, at, image_url, coalesce(
 def resource_match(i):
     links = _fields(i, {**NAVIGATION, "parse": {**NAVIGATION["parse"], "fields": {"href": LINK}}}, "href")
     found = F.concat("href", F.when(F.col("pos") % 2 == 0, "?v=1").otherwise(""))
-    wanted = links.select("page_id", F.col("pos").alias("at"), F.concat("href", F.lit("?v=1")).alias("image_url"))
+    wanted = links.select("page_id", F.col("pos").alias("spot"), F.concat("href", F.lit("?v=1")).alias("image_url"))
     resources = links.select("page_id", "pos", found.alias("resource_url"))
     return images.match_resources(wanted, resources).drop("resource_pos")

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from tanadex.functions import text
 from tanadex.operators import names, products, titles, translate
+from tanadex.operators.scale import saved
 from tanadex.plans.inputs import FULL, HALF
 from tanadex.plans.registry import query
 from tanadex.sources.dictionary import AliasDictionary
 
 
 def dictionary_of(i) -> AliasDictionary:
-    return AliasDictionary(i.dictionary)
+    """The dictionary is used by many lookups, so it is derived once and stored."""
+    return AliasDictionary(saved(i.dictionary))
 
 
 def folded(col: str) -> str:
@@ -132,7 +134,7 @@ def products_(i):
 
 
 @query("product_link", canon("listing") + PRODUCTS + """
-SELECT id, product_id FROM named JOIN prod USING (category, brand_std, model_std, model_no_std)""",
+SELECT id, prod.product_id FROM named JOIN prod USING (category, brand_std, model_std, model_no_std)""",
        "listing", "dictionary")
 def product_link(i):
     return products.aggregate_items(i.listing, dictionary_of(i))[1]
@@ -191,8 +193,24 @@ def _translate_sql(lang: str) -> str:
     """
 
 
-@query("translate_items", canon("listing") + _translate_sql("ja") + """
-SELECT id, brand_tr AS brand_translated, model_tr AS model_translated FROM moved""", "listing", "dictionary")
+JAPANESE = f"""
+, kb AS (SELECT brand, min(brand_ord) AS o, arg_min(alias, alias_ord) AS kana FROM dictionary
+  WHERE model IS NULL AND alias_ord > 0 AND regexp_matches(alias, '{KANA}') GROUP BY brand),
+km AS (SELECT brand, model, min(model_ord) AS o, arg_min(alias, alias_ord) AS kana FROM dictionary
+  WHERE model IS NOT NULL AND alias_ord > 0 AND regexp_matches(alias, '{KANA}') GROUP BY brand, model),
+kb3 AS (SELECT nk AS k, arg_min(kana, o) AS kana FROM bk JOIN kb USING (brand) GROUP BY nk),
+km3 AS (SELECT brand, nk AS k, arg_min(kana, o) AS kana FROM mk JOIN km USING (brand, model) GROUP BY brand, nk)
+SELECT id,
+  CASE WHEN brand_std <> '' AND ({language_of('brand_std')}) <> 'ja'
+    THEN coalesce(kb.kana, kb3.kana, brand_std) ELSE brand_std END AS brand_translated,
+  CASE WHEN model_std <> '' AND ({language_of('model_std')}) <> 'ja'
+    THEN coalesce(km.kana, km3.kana, model_std) ELSE model_std END AS model_translated
+FROM named LEFT JOIN kb ON kb.brand = brand_std LEFT JOIN kb3 ON kb3.k = lower({folded('brand_std')})
+LEFT JOIN km ON km.brand = brand_std AND km.model = model_std
+LEFT JOIN km3 ON km3.brand = brand_std AND km3.k = lower({folded('model_std')})"""
+
+
+@query("translate_items", canon("listing") + JAPANESE, "listing", "dictionary")
 def translate_items(i):
     """Japanese names; the tables hold no Japanese, so the dictionary's aliases decide."""
     d = dictionary_of(i)
@@ -283,10 +301,10 @@ s3 AS (SELECT s2.*, CASE WHEN m.alias IS NULL THEN NULL WHEN m.exact THEN m.alia
          s2.rest_words[coalesce(m.n, 0) + 1:] AS tail
        FROM s2 LEFT JOIN mbest m ON m.id = s2.id AND m.rn = 1),
 s4 AS (SELECT *, list_max([k FOR k IN range(1, len(tail) + 1)
-         IF regexp_full_match(tail[k], '[A-Za-z0-9./-]{{3,}}') AND regexp_matches(tail[k], '[0-9]')]) AS at FROM s3)
+         IF regexp_full_match(tail[k], '[A-Za-z0-9./-]{{3,}}') AND regexp_matches(tail[k], '[0-9]')]) AS spot FROM s3)
 SELECT id, clean AS clean_title, brand_name,
-  coalesce(model_found, nullif(array_to_string([tail[k] FOR k IN range(1, len(tail) + 1) IF at IS NULL OR k <> at], ' '), ''))
-    AS model_name, tail[at] AS model_no
+  coalesce(model_found, nullif(array_to_string([tail[k] FOR k IN range(1, len(tail) + 1) IF (spot IS NULL OR k <> spot)], ' '), ''))
+    AS model_name, tail[spot] AS model_no
 FROM s4"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tanadex.functions.text import lower_key, match_key
 from tanadex.model import DEFAULT_CATEGORY, DICTIONARY_SCHEMA
-from tanadex.operators.scale import broadcast_if_small
+from tanadex.operators.scale import BROADCAST_ROWS, hinted, is_small
 
 
 def dictionary_rows(config, category: str = DEFAULT_CATEGORY):
@@ -31,10 +31,9 @@ def dictionary_rows(config, category: str = DEFAULT_CATEGORY):
 class AliasDictionary:
     """Lookup tables over flat dictionary rows (columns as in ``DICTIONARY_SCHEMA``)."""
 
-    def __init__(self, rows: DataFrame, broadcast_rows: int | None = None):
-        limit = {} if broadcast_rows is None else {"max_rows": broadcast_rows}
+    def __init__(self, rows: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
         self.rows = rows.select(*DICTIONARY_SCHEMA.fieldNames())
-        self._small = lambda side: broadcast_if_small(side, **limit)
+        self.is_small = is_small(self.rows, broadcast_rows)
         self._cache: dict[str, DataFrame] = {}
 
     @classmethod
@@ -52,9 +51,10 @@ class AliasDictionary:
         return cls.from_config(spark, config, category)
 
     def small(self, name: str, build) -> DataFrame:
-        """A lookup table, built once, broadcast when its counted size allows."""
+        """A lookup table, built once. No table has more rows than the dictionary, whose
+        counted size therefore decides whether lookups are broadcast."""
         if name not in self._cache:
-            self._cache[name] = self._small(build())
+            self._cache[name] = hinted(build(), self.is_small)
         return self._cache[name]
 
     @property

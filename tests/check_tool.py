@@ -50,8 +50,8 @@ def compare(spark, con, folder, name, fn, sql):
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     if ours != theirs:
-        extra = [r for r in ours if r not in set(theirs)][:2]
-        missing = [r for r in theirs if r not in set(ours)][:2]
+        extra = sorted(set(ours) - set(theirs))[:2]
+        missing = sorted(set(theirs) - set(ours))[:2]
         return f"rows {len(ours)} vs {len(theirs)}\n   spark only {extra}\n   check only {missing}"
     return f"ok {len(ours)}" if ours else "ok but empty"
 
