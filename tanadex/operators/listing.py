@@ -35,7 +35,7 @@ def list_total(items: DataFrame, status=None, category=None) -> DataFrame:
     return filtered(items, status, category).agg(F.count(F.lit(1)).alias("total"))
 
 
-def item_by_id(items: DataFrame, item_id: int) -> DataFrame:
+def item_by_id(items: DataFrame, item_id) -> DataFrame:
     return items.where(F.col("id") == item_id).limit(1)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanadex.functions.text import match_key, squeeze, strip
+from tanadex.functions.text import let, match_key, squeeze, strip
 from tanadex.model import DEFAULT_CATEGORY
 from tanadex.sources.dictionary import AliasDictionary
 
@@ -58,6 +58,12 @@ def _starts_with_words(text: Column, entry: Column) -> Column:
     return F.startswith(F.concat(text, F.lit(" ")), F.concat(entry["joined"], F.lit(" ")))
 
 
+def _offset(text: Column, part: Column, start: Column) -> Column:
+    """Offset (from 0) of the first occurrence at or after ``start``; 0 or less when none."""
+    found = F.instr(F.substring(text, start + 1, F.length(text)), part)
+    return F.when(found > 0, start + found - 1).otherwise(F.lit(0))
+
+
 def _folded_text(words: Column, text: Column, hit: Column) -> Column:
     """Title text that stands for an alias matched only after folding.
 
@@ -65,15 +71,19 @@ def _folded_text(words: Column, text: Column, hit: Column) -> Column:
     alias's length that ends at a break.
     """
     length = F.length(hit["alias"])
-    cut = strip(F.substring(text, F.lit(1), length + 10))
-    start = F.when(length >= 5, length - 5).otherwise(F.greatest(F.length(cut) + length - 5, F.lit(0)))
-    stops = [F.instr(F.substring(cut, start + 1, F.length(cut)), b) for b in BREAKS]
-    places = [F.when((s > 0) & (start + s - 1 > 0), start + s - 1) for s in stops]
-    stop = F.coalesce(*places)
-    cut = F.when(stop.isNotNull(), strip(F.substring(cut, F.lit(1), stop))).otherwise(cut)
-    return (F.when((hit["n"] > 0) & (F.size(words) >= hit["n"]),
-                   F.array_join(F.slice(words, F.lit(1), F.greatest(hit["n"], F.lit(1))), " "))
-            .when(cut != "", cut).otherwise(hit["alias"]))
+
+    def ended(cut):
+        start = F.when(length >= 5, length - 5).otherwise(F.greatest(F.length(cut) + length - 5, F.lit(0)))
+        places = F.filter(F.transform(
+            F.array(*[F.lit(b) for b in BREAKS]),
+            lambda b: let(start, lambda at: _offset(cut, b, at))), lambda p: p > 0)
+        return F.coalesce(strip(F.substring(cut, F.lit(1), F.get(places, F.lit(0)))), cut)
+
+    whole = (hit["n"] > 0) & (F.size(words) >= hit["n"])
+    shortened = let(let(strip(F.substring(text, F.lit(1), length + 10)), ended),
+                    lambda cut: F.coalesce(F.nullif(cut, F.lit("")), hit["alias"]))
+    return F.when(whole, F.array_join(F.slice(words, F.lit(1), F.greatest(hit["n"], F.lit(1))), " ")).otherwise(
+        shortened)
 
 
 def _first(candidates: Column, test) -> Column:
@@ -114,7 +124,7 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
                                       lambda c: F.startswith(F.col("title_key"), c["folded"]))))
     exact_text = F.when(_starts_with_words(F.col("line"), F.col("hit")), F.col("hit.joined")).otherwise(
         F.col("hit.alias"))
-    near_text = _folded_text(F.col("words"), F.col("clean_title"), F.col("near"))
+    near_text = let(F.col("near"), lambda n: _folded_text(F.col("words"), F.col("clean_title"), n))
     matched = F.when(F.col("hit").isNotNull(), exact_text).when(F.col("near").isNotNull(), near_text)
     used = F.when(F.coalesce("hit", "near").isNotNull(),
                   F.greatest(F.coalesce("hit.n", "near.n"), F.lit(1))).otherwise(0)
@@ -139,7 +149,7 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
     model = (F.when(F.col("m_hit").isNotNull(), F.when(by_words, F.col("m_hit.joined"))
                     .otherwise(F.col("m_hit.alias")))
              .when(F.col("m_near").isNotNull(),
-                   _folded_text(F.col("words"), F.col("rest"), F.col("m_near"))))
+                   let(F.col("m_near"), lambda n: _folded_text(F.col("words"), F.col("rest"), n))))
     # As many leading words are dropped as the alias has, wherever it was found.
     m_used = F.when(F.coalesce("m_hit", "m_near").isNotNull(),
                     F.greatest(F.coalesce("m_hit.n", "m_near.n"), F.lit(1))).otherwise(0)

@@ -26,9 +26,9 @@ def list_total(i):
     return listing.list_total(i.listing, category="watch")
 
 
-@query("item_detail", f"SELECT {', '.join(SHOWN)} FROM listing WHERE id = 9", "listing")
+@query("item_detail", f"SELECT {', '.join(SHOWN)} FROM listing WHERE id = (SELECT min(id) FROM listing)", "listing")
 def item_detail(i):
-    return listing.item_by_id(i.listing, 9).select(*SHOWN)
+    return listing.item_by_id(i.listing, i.listing.agg(F.min("id")).scalar()).select(*SHOWN)
 
 
 @query("display_row", LISTED + """
