@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -40,22 +41,29 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return hinted(side, is_small(side, max_rows))
 
 
+def _shared_folder(spark) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may go without."""
+    context = spark.sparkContext
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-tanadex-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def saved(rows: DataFrame) -> DataFrame:
-    """Write rows to the checkpoint folder once; later steps read them from there.
+    """Write rows once as a table in the shared folder and go on from that table.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder.
+    For results that several later steps read: they are not computed again, their
+    size is known to the planner, and a lost executor loses nothing.
     """
     spark = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="tanadex-")
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
+    path = f"{_shared_folder(spark).rstrip('/')}/tanadex/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def dense_number(rows: DataFrame, key: str, *order: str, name: str, start=1,

@@ -142,21 +142,23 @@ def _field_tokens(field: str) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """field, term, id, tf and field length; counted inside each row, so no shuffle."""
+    """field, term, id, tf, field length, and whether it is the field's leading row.
+
+    Terms are counted inside each row, so building postings takes no shuffle.
+    """
     per_field = docs.select("id", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), _field_tokens(f).alias("toks")) for f in BOOSTS])).alias("f"))
     counted = per_field.select("id", "f.field", F.size("f.toks").cast("bigint").alias("doc_len"),
                                term_counts(F.col("f.toks")).alias("terms"))
-    return (counted.select("id", "field", "doc_len", F.explode("terms").alias("t"))
-            .select("field", F.col("t.term").alias("term"), "id", F.col("t.tf").alias("tf"), "doc_len"))
+    return (counted.select("id", "field", "doc_len", F.posexplode("terms").alias("n", "t"))
+            .select("field", F.col("t.term").alias("term"), "id", F.col("t.tf").alias("tf"), "doc_len",
+                    (F.col("n") == 0).alias("leads")))
 
 
-def field_stats(docs: DataFrame) -> DataFrame:
+def field_stats(index: DataFrame) -> DataFrame:
     """Documents with a non-empty field and its mean length, per field."""
-    lengths = docs.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.size(_field_tokens(f)).alias("n")) for f in BOOSTS])).alias("f"))
-    return (lengths.where(F.col("f.n") > 0).groupBy(F.col("f.field").alias("field"))
-            .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("f.n").alias("avg_len")))
+    return (index.where("leads").groupBy("field")
+            .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -273,10 +275,10 @@ def match(queries: DataFrame, docs: DataFrame, fuzzy: bool = True,
           index: DataFrame | None = None) -> DataFrame:
     """query_id, id, score: any term in any field; the best field's weighted BM25 sum.
 
-    ``queries`` has query_id and query. Postings are filtered by a hash lookup of the
+    ``queries`` has query_id and query; ``index`` holds stored postings. Postings are filtered by a hash lookup of the
     query terms, and scores are summed per (query, document) in one aggregation.
     """
-    index = postings(docs) if index is None else index
+    index = saved(postings(docs)) if index is None else index
     asked = _expanded(query_terms(queries.where(~is_match_all(F.col("query")))), index, fuzzy)
     asked = (asked.groupBy("query_id", "field", "match")
              .agg(F.sum(F.col("repeats") * F.col("weight")).alias("weight")))
@@ -285,7 +287,7 @@ def match(queries: DataFrame, docs: DataFrame, fuzzy: bool = True,
     small = is_small(asked)
     wanted = hinted(asked.select("field", F.col("match").alias("term")).distinct(), small)
     hits = index.join(wanted, ["field", "term"], "left_semi")
-    stats = (vocabulary(hits).join(F.broadcast(field_stats(docs)), "field")
+    stats = (vocabulary(hits).join(F.broadcast(field_stats(index)), "field")
              .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
              .select("field", F.col("term").alias("match"), "idf", "avg_len"))
     weighted = hinted(asked.join(stats, ["field", "match"]), small)  # one row per asked term
@@ -382,14 +384,15 @@ def narrow(hits: DataFrame, few_queries: bool = False) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame, page: int = 1, page_size: int = 20,
            sort_field: str | None = None, order: str = "desc", fuzzy: bool = True,
            recall: int | str | None = "page", filters: dict | None = None,
-           rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           rerank: Callable[[DataFrame], DataFrame] | None = None,
+           index: DataFrame | None = None) -> DataFrame:
     """Recall, narrow to exact matches, sort, rerank, page; many queries in one job.
 
     ``recall="page"`` takes five pages' worth, at most 100, before narrowing, which
     also bounds ``total``; ``recall=None`` considers every match. Without a sort field
     the recall is by last seen date and the result by score.
     """
-    matched = match(queries, docs, fuzzy).unionByName(match_all(queries, docs))
+    matched = match(queries, docs, fuzzy, index).unionByName(match_all(queries, docs))
     chosen = apply_filters(docs, **(filters or {}))
     wide = chosen.select("id", "price", "last_seen_dt", "created_at")
     hits = matched.join(wide, "id")
@@ -397,8 +400,8 @@ def search(queries: DataFrame, docs: DataFrame, page: int = 1, page_size: int =
         size = recall_size(page_size) if recall == "page" else recall
         hits = ranked(hits, sort_order(sort_field, order), 1, size).drop("rank")
     small = is_small(queries)
-    hits = (hits.select("query_id", "id", "score").join(hinted(queries, small), "query_id")
-            .join(docs, "id").withColumn("exact", is_exact(F.col("query"))))
+    hits = saved(hits.select("query_id", "id", "score").join(hinted(queries, small), "query_id")
+                 .join(docs, "id").withColumn("exact", is_exact(F.col("query"))))
     kept = narrow(hits, small)
     totals = hinted(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), small)
     final = sort_order(sort_field, order) if sort_field else by_score()

@@ -31,8 +31,10 @@ def _candidates(rows: DataFrame, keys: list[str], order: list[str], to: str) ->
 
     A key's list holds entries of the dictionary only, so it never grows with the data.
     """
-    entry = F.struct((-F.length("alias")).alias("neg_len"), *order, "alias",
-                     F.array_join(_words(F.col("alias")), " ").alias("joined"),
+    joined = F.array_join(_words(F.col("alias")), " ")
+    entry = F.struct((-F.length("alias")).alias("neg_len"), *order, "alias", joined.alias("joined"),
+                     F.concat(joined, F.lit(" ")).alias("lead"),
+                     F.concat(F.lit(" "), "alias", F.lit(" ")).alias("inside"),
                      F.size(_words(F.col("alias"))).alias("n"), "folded")
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(to))
 
@@ -54,10 +56,6 @@ def _model_lists(dictionary: AliasDictionary) -> DataFrame:
     return _candidates(rows, ["category", "brand_found"], ["model_ord", "alias_ord"], "models")
 
 
-def _starts_with_words(text: Column, entry: Column) -> Column:
-    return F.startswith(F.concat(text, F.lit(" ")), F.concat(entry["joined"], F.lit(" ")))
-
-
 def _offset(text: Column, part: Column, start: Column) -> Column:
     """Offset (from 0) of the first occurrence at or after ``start``; 0 or less when none."""
     found = F.instr(F.substring(text, start + 1, F.length(text)), part)
@@ -110,11 +108,12 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
            .withColumn("line", F.regexp_replace(F.array_join(_words(F.col("clean_title")), " "),
                                                 rf"(?:(?:^| )(?:{suffix}))+$", ""))
            .withColumn("words", _words(F.col("line")))
+           .withColumn("line_end", F.concat("line", F.lit(" ")))
            .withColumn("lead_plain", F.substring("clean_title", 1, 1))
            .join(dictionary.small("title_brands", lambda: _brand_buckets(dictionary, False)),
                  ["category", "lead_plain"], "left")
            .withColumn("hit", _first(F.col("brands_plain"), lambda c: (
-               _starts_with_words(F.col("line"), c) | F.startswith(F.col("clean_title"), c["alias"]))))
+               F.startswith(F.col("line_end"), c["lead"]) | F.startswith(F.col("clean_title"), c["alias"]))))
            .withColumn("title_key", F.when(F.col("hit").isNull() & (F.size("words") > 0),
                                            match_key("clean_title")))
            .withColumn("lead_folded", F.substring("title_key", 1, 1))
@@ -122,7 +121,7 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
                  ["category", "lead_folded"], "left")
            .withColumn("near", _first(F.col("brands_folded"),
                                       lambda c: F.startswith(F.col("title_key"), c["folded"]))))
-    exact_text = F.when(_starts_with_words(F.col("line"), F.col("hit")), F.col("hit.joined")).otherwise(
+    exact_text = F.when(F.startswith("line_end", F.col("hit.lead")), F.col("hit.joined")).otherwise(
         F.col("hit.alias"))
     near_text = let(F.col("near"), lambda n: _folded_text(F.col("words"), F.col("clean_title"), n))
     matched = F.when(F.col("hit").isNotNull(), exact_text).when(F.col("near").isNotNull(), near_text)
@@ -132,20 +131,21 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
            .withColumn("brand_name", F.coalesce(matched, F.get("words", F.lit(0))))
            .withColumn("words", _rest(F.col("words"), used))
            .withColumn("rest", F.array_join("words", " "))
+           .withColumn("rest_end", F.concat("rest", F.lit(" ")))
+           .withColumn("rest_both", F.concat(F.lit(" "), "rest_end"))
            .join(dictionary.brand_lookup("exact").withColumnsRenamed(
                {"key_exact": "brand_name", "brand_exact": "brand_found"}), ["category", "brand_name"], "left")
            .join(dictionary.small("title_models", lambda: _model_lists(dictionary)),
                  ["category", "brand_found"], "left")
            .withColumn("m_hit", _first(F.col("models"), lambda c: (
-               F.startswith(F.col("rest"), c["alias"]) | _starts_with_words(F.col("rest"), c)
-               | F.contains(F.concat(F.lit(" "), F.col("rest"), F.lit(" ")),
-                            F.concat(F.lit(" "), c["alias"], F.lit(" "))))))
+               F.startswith(F.col("rest"), c["alias"]) | F.startswith(F.col("rest_end"), c["lead"])
+               | F.contains(F.col("rest_both"), c["inside"]))))
            .withColumn("rest_key", F.when(F.col("m_hit").isNull() & F.col("models").isNotNull(),
                                           match_key("rest")))
            .withColumn("m_near", _first(F.col("models"),
                                         lambda c: F.contains(F.col("rest_key"), c["folded"]))))
     by_words = (~F.startswith(F.col("rest"), F.col("m_hit.alias"))
-                & _starts_with_words(F.col("rest"), F.col("m_hit")))
+                & F.startswith(F.col("rest_end"), F.col("m_hit.lead")))
     model = (F.when(F.col("m_hit").isNotNull(), F.when(by_words, F.col("m_hit.joined"))
                     .otherwise(F.col("m_hit.alias")))
              .when(F.col("m_near").isNotNull(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanadex.operators import changes, listing
+from tanadex.operators.scale import saved
 from tanadex.plans.registry import query
 
 # ---- SQL of the checks -------------------------------------------------------------
@@ -130,7 +131,7 @@ def sync_carry_in(i):
     """Two runs, the second on top of the first one's snapshot; the result of one run."""
     log = changes.valid_log(changes.pending_log(i.crawl_log, -1))
     middle = i.table("events").agg(F.floor(F.max("event_id") / 2)).scalar()
-    snapshot = changes.current_items(log.where(F.col("log_id") <= middle))
+    snapshot = saved(changes.current_items(log.where(F.col("log_id") <= middle)))
     return changes.current_items(log.where(F.col("log_id") > middle), snapshot).select(*CURRENT_COLUMNS)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tanadex.functions import text
 from tanadex.operators import search
+from tanadex.operators.scale import saved
 from tanadex.plans.naming import canon, dictionary_of
 from tanadex.plans.registry import query
 
@@ -116,7 +117,8 @@ kept AS (SELECT * FROM (SELECT *, bool_or(exact) OVER (PARTITION BY query_id) AS
 # ---- documents ------------------------------------------------------------------------
 
 def _docs(i):
-    return search.build_documents(i.catalog, dictionary_of(i))
+    """The search documents, stored as the index they are."""
+    return saved(search.build_documents(i.catalog, dictionary_of(i)))
 
 
 def _flat(docs):
@@ -133,7 +135,7 @@ FLAT = """id, brand_name, model_name, model_no, category, search_text, array_to_
 
 @query("search_docs", DOCS + f"SELECT {FLAT} FROM docs", "catalog", "dictionary")
 def search_docs(i):
-    return _flat(_docs(i))
+    return _flat(search.build_documents(i.catalog, dictionary_of(i)))
 
 
 @query("items_for_index", f"SELECT {', '.join(search.ITEM_COLUMNS)} FROM listing", "listing")
@@ -203,7 +205,7 @@ def tokenize(i):
 
 @query("postings", DOCS + POSTINGS + "SELECT field, term, id, tf, doc_len FROM post", "catalog", "dictionary")
 def postings(i):
-    return search.postings(_docs(i))
+    return search.postings(search.build_documents(i.catalog, dictionary_of(i))).drop("leads")
 
 
 # ---- matching and ranking ------------------------------------------------------------------
