@@ -12,7 +12,7 @@ from tanadex.functions.strategies import (STRATEGIES, attribute, attribute_candi
 from tanadex.functions.text import blank_to_null, let
 from tanadex.functions.transforms import apply_transforms, java_pattern
 from tanadex.model import DEFAULT_CATEGORY, DEFAULT_CURRENCY, LOG_SCHEMA
-from tanadex.operators.scale import dense_number
+from tanadex.operators.scale import dense_number, spread
 from tanadex.sources.rules import FieldRule, Profile, by_priority
 
 ITEM_TYPE = "map<string,string>"
@@ -152,7 +152,7 @@ def extract_records(pages: DataFrame, profiles) -> DataFrame:
     All profiles are evaluated in one pass; only the branch of the page's own
     profile runs. The page text is dropped with this step.
     """
-    matched = match_pages(pages, profiles).where(F.col("profile").isNotNull())
+    matched = match_pages(spread(pages), profiles).where(F.col("profile").isNotNull())
     result, site = F.lit(None), F.lit(None).cast("string")
     for p in by_priority(profiles):
         is_p = F.col("profile") == p.name

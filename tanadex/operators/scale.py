@@ -66,6 +66,18 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows from fewer input files than the session has cores, dealt out to all cores.
+
+    For steps that spend much time per row. Larger inputs come in many files and stay
+    as they are; streams and inputs without files do too.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def dense_number(rows: DataFrame, key: str, *order: str, name: str, start=1,
                  span: int = 1 << 20) -> DataFrame:
     """Number rows 1, 2, 3 … by a long ``key`` (then ``order``) without one global sort.

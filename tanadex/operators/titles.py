@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tanadex.functions.text import let, match_key, squeeze, strip
 from tanadex.model import DEFAULT_CATEGORY
+from tanadex.operators.scale import spread
 from tanadex.sources.dictionary import AliasDictionary
 
 # Words after which a title holds no names, and trailing audience words.
@@ -101,7 +102,7 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
     """
     kept = [c for c in items.columns if c not in ("brand_name", "model_name", "model_no", "clean_title")]
     suffix = "|".join(audience)
-    out = items.select(*kept).withColumn("clean_title", clean_title(F.col(title)))
+    out = spread(items.select(*kept)).withColumn("clean_title", clean_title(F.col(title)))
     if "category" not in kept:
         out = out.withColumn("category", F.lit(DEFAULT_CATEGORY))
     out = (out

@@ -22,15 +22,6 @@ class ItemStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count()
-            return True
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return False
-            raise
-
     def missing_tables(self) -> list[str]:
         """Names of the store's tables that hold nothing yet."""
         version = self.version()
@@ -73,8 +64,13 @@ class ItemStore:
         start = self.cursor(previous)
         pending = changes.pending_log(log, start if after_cursor else -1)
         valid = changes.valid_log(pending)
+        known = None
+        if previous is not None:  # keys hold the log id, so only rows of these ids can repeat
+            oldest = pending.agg(F.min("log_id")).scalar()
+            known = (self.spark.read.parquet(f"{self.path}/history")
+                     .where((F.col("batch") <= previous) & (F.col("log_id") >= oldest)))
         history = changes.new_history(
-            changes.price_history(changes.price_changes(valid, snapshot, skew=skew)), None)
+            changes.price_history(changes.price_changes(valid, snapshot, skew=skew)), known)
         history.write.mode("overwrite").parquet(f"{self.path}/history/batch={batch}")
         (changes.current_items(valid, snapshot, skew=skew)
          .write.mode("overwrite").parquet(f"{self.path}/items/v={batch}"))
