@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanadex.functions import text
+from tanadex.model import MAX_PAGE_SIZE
 from tanadex.operators import search
 from tanadex.operators.scale import saved
 from tanadex.plans.naming import canon, dictionary_of
@@ -250,12 +251,10 @@ SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (
   FROM matched JOIN catalog USING (id)) x WHERE rank BETWEEN {first} AND {last}"""
 
 
-@query("search_sorted", matching("search_queries", False) + """
-SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id
-  ORDER BY price DESC NULLS LAST, score DESC, id) AS INT) AS rank FROM matched JOIN catalog USING (id)""",
-       "catalog", "dictionary", "search_queries")
+@query("search_sorted", _ranked_sql("price DESC NULLS LAST", 1, 100), "catalog", "dictionary", "search_queries")
 def search_sorted(i):
-    return search.ranked(_hits(i), search.sort_order("price", "desc"), 1, 1 << 30).select(
+    """First page of the largest size, dearest items first."""
+    return search.page_of(_hits(i), search.sort_order("price", "desc"), 1, MAX_PAGE_SIZE).select(
         "query_id", "id", "score", "rank")
 
 
