@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import quality
+from tanadex.llm import lines, mixing, quality, simhash
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +18,48 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    cut = lines.without_boilerplate(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html")))
+    return cut.select(F.col("row.page_id").alias("page_id"), "host", "n_lines", "n_dropped", "text")
+
+
+CHECKS["op1_line_dedup"] = f"""
+    WITH base AS (
+      SELECT page_id, row_number() OVER () AS r,
+        lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+        html IS NULL AS gone, string_split(coalesce(regexp_replace(regexp_replace(regexp_replace(
+          html, '{lines.UNSEEN}', chr(10), 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g'), ''), chr(10)) AS ls
+      FROM pages),
+    each AS (
+      SELECT r, page_id, host, gone, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM base),
+    bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM each),
+    often AS (
+      SELECT host, t, count(DISTINCT r) AS n FROM bare WHERE t <> '' GROUP BY host, t),
+    totals AS (SELECT host, count(*) AS total FROM base GROUP BY host),
+    drops AS (
+      SELECT host, t, 1 AS dropped FROM often JOIN totals USING (host)
+      WHERE n >= {lines.MIN_PAGES} AND n > {lines.MAX_RATIO} * total)
+    SELECT page_id, host, count(*) FILTER (t <> '') AS n_lines, count(dropped) AS n_dropped,
+      CASE WHEN NOT any_value(gone)
+           THEN coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (dropped IS NULL), '') END AS text
+    FROM bare LEFT JOIN drops USING (host, t) GROUP BY r, page_id, host"""
+
+
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "score", "base_failed", "kept")
+
+
+@query
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("source")
