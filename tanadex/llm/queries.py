@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import lines, mixing, quality, simhash
+from tanadex.llm import lines, mixing, packing, quality, simhash
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ CHECKS["op1_line_dedup"] = f"""
     FROM bare LEFT JOIN drops USING (host, t) GROUP BY r, page_id, host"""
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
