@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import lines, mixing, packing, quality, simhash
+from tanadex.llm import language, lines, mixing, packing, quality, simhash, tokens
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,16 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(table(spark, folder, "documents"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
