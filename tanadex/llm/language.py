@@ -15,7 +15,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = "und"
 # Fitted on at most so many labelled documents of each language, those of smallest hash.
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 500
 ROUNDS = 2
 SMOOTHING = 0.1
 # Probability of a character that is no piece, alike in every language.

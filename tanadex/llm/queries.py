@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import language, lines, mixing, packing, quality, simhash, tokens
+from tanadex.llm import language, lines, mixing, packing, private, quality, retrieval, simhash, tokens
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,31 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "n_repeat_words", "score", "base_failed", "kept")
 
 
+@query
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return private.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % retrieval.EVERY == 0)
+
+
+CHECKS["op9_exact_top_k"] = f"""
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, CAST(list_transform(embedding, lambda x: CAST(
+          floor({retrieval.SCALE}.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS BIGINT[]) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT q.r, q.vec_id AS query_id, c.vec_id,
+        CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % {retrieval.EVERY} = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs) x
+    WHERE rank <= {retrieval.TOP}"""
