@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import language, lines, mixing, packing, private, quality, retrieval, simhash, tokens
+from tanadex.llm import language, lines, mixing, packing, private, quality, retrieval, simhash, substrings, tokens
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,14 @@ CHECKS["op9_exact_top_k"] = f"""
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs) x
     WHERE rank <= {retrieval.TOP}"""
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
