@@ -86,7 +86,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     no words, score 0, and fails the base rules. Repeated rows are judged alike; without trusted labels the ratio is
     flat over all n-grams seen, and the threshold alone decides.
     """
-    ratios = F.lit([float(x) for x in log_ratios(docs, trusted_ids(labels))])
+    # One text constant of BUCKETS numbers, which folds to one array constant.
+    ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, trusted_ids(labels))))), ",").cast("array<double>")
     total = F.aggregate(word_grams(F.col("words"), lambda a, b: F.get(ratios, a) + F.get(ratios, b)), F.lit(0.0),
                         lambda acc, x: acc + x)
     scored = with_statistics(docs).withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")))
@@ -96,5 +97,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judge(docs, labels, threshold).where("kept").select("row.*")
+    """The documents that pass, with their own columns.
+
+    A filter on columns alone would be pushed below the steps that make them and would work them out again for every
+    word; one that also asks for a row number stays above.
+    """
+    judged = judge(docs, labels, threshold).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.where("kept AND at >= 0").select("row.*")
