@@ -18,10 +18,8 @@ FIRST_SEEN = ("brand_name", "model_name", "model_no", "currency", "image_sha256"
 
 @dataclass(frozen=True)
 class Skew:
-    """When and how finely the history of one item is split over tasks."""
+    """How finely the history of every item is split over tasks."""
 
-    min_rows: int = scale.HOT_MIN_ROWS
-    top: int = scale.HOT_TOP
     chunk_rows: int = scale.CHUNK_ROWS
 
 
@@ -76,9 +74,9 @@ def observed_prices(valid: DataFrame, snapshot: DataFrame | None = None,
     The price of an item is compared in log order. With ``absorb`` a null price ends
     the item's changes for good; with ``skip`` rows without a price are passed over.
 
-    An item with very many rows is cut into ranges of log ids. Ranges are compared
-    inside their own group; one summary row per range (its first and last price, its
-    changes, whether it holds a null) carries the state across.
+    The rows of every item are cut into ranges of log ids. Ranges are compared inside
+    their own group; one summary row per range (its first and last price, its changes,
+    whether it holds a null) carries the state across, so no item is too large for a task.
     """
     rows = valid.select("source_uid", "log_id", "price",
                         F.lit(None).cast("bigint").alias("base"), *FACTS)
@@ -87,9 +85,7 @@ def observed_prices(valid: DataFrame, snapshot: DataFrame | None = None,
     if null_price == "skip":
         rows = rows.where(F.col("price").isNotNull() | (F.col("log_id") < 0))
 
-    hot = scale.hot_keys(valid.select("source_uid"), "source_uid", skew.min_rows, skew.top)
     chunk = F.floor(F.col("log_id") / F.lit(skew.chunk_rows)).cast("bigint")
-    marked = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
 
     each = W.partitionBy("source_uid", "chunk").orderBy("log_id")
     earlier = each.rowsBetween(W.unboundedPreceding, -1)
@@ -106,13 +102,11 @@ def observed_prices(valid: DataFrame, snapshot: DataFrame | None = None,
             differs = differs & F.col("before").isNotNull()
         return steps.withColumn("inner", (F.col("pos") > 1) & ~F.col("stuck") & differs)
 
-    main = compared(rows.join(marked, "source_uid", "left")
-                    .withColumn("chunk", F.when(F.col("is_hot"), chunk).otherwise(F.lit(0).cast("bigint"))))
+    main = compared(rows.withColumn("chunk", chunk))
     main = main.withColumn("running", F.sum(F.col("inner").cast("bigint")).over(each))
     main = main.withColumn("base_here", F.max("base").over(each))
 
-    pieces = (compared(rows.join(marked, "source_uid", "inner").withColumn("chunk", chunk))
-              .groupBy("source_uid", "chunk")
+    pieces = (main.groupBy("source_uid", "chunk")
               .agg(F.min_by("price", "log_id").alias("first_price"),
                    F.max_by("price", "log_id").alias("last_price"),
                    F.max(F.col("price").isNull()).alias("has_null"),

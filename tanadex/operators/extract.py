@@ -12,7 +12,7 @@ from tanadex.functions.strategies import (STRATEGIES, attribute, attribute_candi
 from tanadex.functions.text import blank_to_null, let
 from tanadex.functions.transforms import apply_transforms, java_pattern
 from tanadex.model import DEFAULT_CATEGORY, DEFAULT_CURRENCY, LOG_SCHEMA
-from tanadex.operators.scale import dense_number, spread
+from tanadex.operators.scale import dense_number
 from tanadex.sources.rules import FieldRule, Profile, by_priority
 
 ITEM_TYPE = "map<string,string>"
@@ -75,10 +75,10 @@ def field_value(markup: Column, rule: FieldRule) -> Column:
 
 
 def _item(markup: Column, profile: Profile) -> Column:
-    entries = [e for name, rule in profile.fields.items()
-               for e in (F.lit(name), field_value(markup, rule))]
+    values = {name: field_value(markup, rule) for name, rule in profile.fields.items()}
     if profile.category:
-        entries += [F.lit("category"), F.lit(profile.category)]
+        values["category"] = F.lit(profile.category)  # the profile's own category wins over a field of that name
+    entries = [e for name, value in values.items() for e in (F.lit(name), value)]
     if not entries:
         return F.create_map().cast(ITEM_TYPE)
     return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
@@ -152,7 +152,7 @@ def extract_records(pages: DataFrame, profiles) -> DataFrame:
     All profiles are evaluated in one pass; only the branch of the page's own
     profile runs. The page text is dropped with this step.
     """
-    matched = match_pages(spread(pages), profiles).where(F.col("profile").isNotNull())
+    matched = match_pages(pages, profiles).where(F.col("profile").isNotNull())
     result, site = F.lit(None), F.lit(None).cast("string")
     for p in by_priority(profiles):
         is_p = F.col("profile") == p.name

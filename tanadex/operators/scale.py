@@ -1,4 +1,4 @@
-"""Helpers for data of any size: hot keys, dense numbering, checked broadcasts."""
+"""Helpers for data of any size: stored steps and dense numbering."""
 
 from __future__ import annotations
 
@@ -7,39 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-# A key with fewer rows than this is left in one group.
-HOT_MIN_ROWS = 1_000_000
-# At most this many keys count as hot. A key outside the top n holds at most
-# 1/(n+1) of all rows, and the hot list always fits a broadcast.
-HOT_TOP = 10_000
-# Rows of a hot key per piece.
+# Log ids to a piece of one item's history.
 CHUNK_ROWS = 1 << 20
-# A side with more rows than this is joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def hot_keys(rows: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS,
-             top: int = HOT_TOP) -> DataFrame:
-    """The heaviest values of ``key``, at most ``top`` of them."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    return (counts.where(F.col("n_rows") >= min_rows)
-            .orderBy(F.desc("n_rows"), F.col(key)).limit(top).select(key))
-
-
-def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has at most ``max_rows`` rows; counting stops at the limit."""
-    return side.limit(max_rows + 1).count() <= max_rows
-
-
-def hinted(side: DataFrame, small: bool) -> DataFrame:
-    """Broadcast hint for a side known to be small; a larger one is joined by shuffle,
-    where adaptive execution picks the join and splits skewed partitions."""
-    return F.broadcast(side) if small else side
-
-
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return hinted(side, is_small(side, max_rows))
-
 
 def _shared_folder(spark) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local session may go without."""
@@ -66,26 +35,15 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows from fewer input files than the session has cores, dealt out to all cores.
-
-    For steps that spend much time per row. Larger inputs come in many files and stay
-    as they are; streams and inputs without files do too.
-    """
-    if rows.isStreaming:
-        return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
-
-
 def dense_number(rows: DataFrame, key: str, *order: str, name: str, start=1,
                  span: int = 1 << 20) -> DataFrame:
     """Number rows 1, 2, 3 … by a long ``key`` (then ``order``) without one global sort.
 
     Rows are cut into ranges of ``span`` key values. Only the row count of each range
-    passes through a single window; rows are numbered within their range.
+    passes through a single window; rows are numbered within their range. Rows without a
+    key come first, in ``order``.
     """
-    cut = rows.withColumn("_range", F.floor(F.col(key) / F.lit(span)).cast("bigint"))
+    cut = rows.withColumn("_range", F.coalesce(F.floor(F.col(key) / F.lit(span)).cast("bigint"), F.lit(-(1 << 63))))
     counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(

@@ -11,7 +11,7 @@ from tanadex.functions.text import lower_key, strip, term_counts, tokens
 from tanadex.model import search_arguments
 from tanadex.operators.names import (brand_alias_lists, canonical_brand, canonical_model,
                                      model_alias_lists)
-from tanadex.operators.scale import broadcast_if_small, hinted, is_small, saved
+from tanadex.operators.scale import saved
 from tanadex.sources.dictionary import AliasDictionary
 
 # Fields searched and their weights; model_no counts as one whole term.
@@ -29,7 +29,6 @@ K1, B = 1.2, 0.75
 # Allowed edits by length of the query term: up to 2, 3 to 5, longer.
 SHORT_TERM, MEDIUM_TERM = 2, 5
 SCORE_DIGITS = 6
-MAX_RECALL = 100
 
 ITEM_COLUMNS = ("id", "brand_name", "model_name", "model_no", "price", "currency", "site", "category",
                 "status", "last_seen_dt", "image_thumb_300_key", "product_url", "created_at")
@@ -97,9 +96,9 @@ def affected_items(items: DataFrame, brands: DataFrame | None = None, models: Da
     keyed = rows.select("id", F.col(brand).alias("brand_name"), F.col(model).alias("model_name"))
     parts = []
     if brands is not None:
-        parts.append(keyed.join(broadcast_if_small(brands.select("brand_name")), "brand_name", "left_semi"))
+        parts.append(keyed.join(brands.select("brand_name"), "brand_name", "left_semi"))
     if models is not None:
-        parts.append(keyed.join(broadcast_if_small(models.select("brand_name", "model_name")),
+        parts.append(keyed.join(models.select("brand_name", "model_name"),
                                 ["brand_name", "model_name"], "left_semi"))
     return reduce(DataFrame.unionByName, [p.select("id") for p in parts]).distinct()
 
@@ -115,10 +114,9 @@ def inspect_brand(index: DataFrame, brand: str) -> DataFrame:
     return index.where(F.col("brand_name") == brand)
 
 
-def inspect_model(index: DataFrame, model: str, n: int = 100) -> DataFrame:
-    """Documents whose model name shares a token with the given one, lowest ids first."""
-    return (index.where(F.arrays_overlap(tokens("model_name"), tokens(F.lit(model))))
-            .orderBy("id").limit(n))
+def inspect_model(index: DataFrame, model: str) -> DataFrame:
+    """All documents whose model name shares a token with the given one."""
+    return index.where(F.arrays_overlap(tokens("model_name"), tokens(F.lit(model))))
 
 
 def alias_coverage(index: DataFrame, term: str) -> DataFrame:
@@ -243,7 +241,7 @@ def fuzzy_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
               .select("field", "term", "form", "left", "spent", "n", F.col("piece.p").alias("p"),
                       F.substring(F.col("form"), F.col("from"), F.col("piece.n")).alias("text"))
               .distinct())
-    pairs = (indexed.join(broadcast_if_small(probes), ["field", "left", "n", "p", "text"])
+    pairs = (indexed.join(probes, ["field", "left", "n", "p", "text"])
              .select("field", "term", "match", "form", "left", "spent").distinct())
     distance = F.expr("levenshtein(form, match, left)")
     close = (pairs.withColumn("d", distance).where(F.col("d") >= 0)
@@ -284,13 +282,12 @@ def match(queries: DataFrame, docs: DataFrame, fuzzy: bool = True,
              .agg(F.sum(F.col("repeats") * F.col("weight")).alias("weight")))
     if fuzzy:
         asked = saved(asked)
-    small = is_small(asked)
-    wanted = hinted(asked.select("field", F.col("match").alias("term")).distinct(), small)
+    wanted = asked.select("field", F.col("match").alias("term")).distinct()
     hits = index.join(wanted, ["field", "term"], "left_semi")
     stats = (vocabulary(hits).join(F.broadcast(field_stats(index)), "field")
              .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
              .select("field", F.col("term").alias("match"), "idf", "avg_len"))
-    weighted = hinted(asked.join(stats, ["field", "match"]), small)  # one row per asked term
+    weighted = asked.join(stats, ["field", "match"])  # one row per asked term
     scored = (hits.withColumnRenamed("term", "match")
               .join(weighted, ["field", "match"])
               .withColumn("s", F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1)
@@ -352,10 +349,6 @@ def page_of(hits: DataFrame, order: list[Column], page: int = 1, page_size: int
     return ranked(hits, order, (page - 1) * page_size + 1, page * page_size)
 
 
-def recall_size(page_size: int) -> int:
-    return min(page_size * 5, MAX_RECALL)
-
-
 def is_exact(query: Column) -> Column:
     """The query equals a name, the number or an alias of the document, case ignored."""
     wanted = lower_key(query)
@@ -369,7 +362,7 @@ def is_exact(query: Column) -> Column:
     return same & (wanted != "")
 
 
-def narrow(hits: DataFrame, few_queries: bool = False) -> DataFrame:
+def narrow(hits: DataFrame) -> DataFrame:
     """With exact matches among a query's hits, keep only those.
 
     One flag per query is aggregated and joined back, so the hits of one query are
@@ -377,48 +370,45 @@ def narrow(hits: DataFrame, few_queries: bool = False) -> DataFrame:
     """
     any_exact = (hits.groupBy("query_id").agg(F.max("exact").alias("any_exact"))
                  .where("any_exact").select("query_id", "any_exact"))
-    flagged = hits.join(hinted(any_exact, few_queries), "query_id", "left")
+    flagged = hits.join(any_exact, "query_id", "left")
     return flagged.where(F.col("exact") | F.col("any_exact").isNull()).drop("any_exact")
 
 
 def search(queries: DataFrame, docs: DataFrame, page: int = 1, page_size: int = 20,
            sort_field: str | None = None, order: str = "desc", fuzzy: bool = True,
-           recall: int | str | None = "page", filters: dict | None = None,
+           recall: int | None = None, filters: dict | None = None,
            rerank: Callable[[DataFrame], DataFrame] | None = None,
            index: DataFrame | None = None) -> DataFrame:
     """Recall, narrow to exact matches, sort, rerank, page; many queries in one job.
 
-    ``recall="page"`` takes five pages' worth, at most 100, before narrowing, which
-    also bounds ``total``; ``recall=None`` considers every match. Without a sort field
-    the recall is by last seen date and the result by score.
+    Every match is considered, so an exact one is found whenever it was last seen, and
+    only the page bounds the answer. A given ``recall`` takes that many hits before
+    narrowing: by the sort field, or by last seen date; the result is then by score.
     """
     matched = match(queries, docs, fuzzy, index).unionByName(match_all(queries, docs))
     chosen = apply_filters(docs, **(filters or {}))
     wide = chosen.select("id", "price", "last_seen_dt", "created_at")
     hits = matched.join(wide, "id")
     if recall is not None:
-        size = recall_size(page_size) if recall == "page" else recall
-        hits = ranked(hits, sort_order(sort_field, order), 1, size).drop("rank")
-    small = is_small(queries)
-    hits = saved(hits.select("query_id", "id", "score").join(hinted(queries, small), "query_id")
+        hits = ranked(hits, sort_order(sort_field, order), 1, recall).drop("rank")
+    hits = saved(hits.select("query_id", "id", "score").join(queries, "query_id")
                  .join(docs, "id").withColumn("exact", is_exact(F.col("query"))))
-    kept = narrow(hits, small)
-    totals = hinted(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), small)
+    kept = narrow(hits)
+    totals = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     final = sort_order(sort_field, order) if sort_field else by_score()
     paged = page_of(rerank(kept) if rerank else kept, final, page, page_size).drop("exact")
-    return _shared_answers(paged.join(totals, "query_id"), queries, small)
+    return _shared_answers(paged.join(totals, "query_id"), queries)
 
 
 def by_score() -> list[Column]:
     return [F.col("score").desc_nulls_last(), F.col("last_seen_dt").desc_nulls_last(), F.col("id")]
 
 
-def _shared_answers(paged: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+def _shared_answers(paged: DataFrame, queries: DataFrame) -> DataFrame:
     """Give the page of the match-all query to every query that asked for all."""
     everything = queries.where(is_match_all(F.col("query")))
     first = everything.agg(F.min("query_id")).scalar()
-    members = hinted(everything.select(F.col("query_id").alias("member"), F.col("query").alias("asked"),
-                                       first.alias("query_id")), small)
+    members = everything.select(F.col("query_id").alias("member"), F.col("query").alias("asked"), first.alias("query_id"))
     joined = paged.join(members, "query_id", "left")
     return joined.withColumns({"query_id": F.coalesce("member", "query_id"),
                                "query": F.coalesce("asked", "query")}).drop("member", "asked")
@@ -434,10 +424,10 @@ def _phrase_prefix(text: Column, prefix_tokens: Column) -> Column:
 
 
 def suggest(docs: DataFrame, prefix: str, size: int = 5) -> DataFrame:
-    """Terms that start with the prefix, from the best matching documents.
+    """The ``size`` first terms that start with the prefix, over all matching documents.
 
-    A document scores one per field that matches. The terms of the first 5·size
-    documents are taken in field order, case-sensitively distinct.
+    A document scores one per field that matches. Terms come by their best document,
+    then by field order; they are case-sensitively distinct.
     """
     prefix = (prefix or "").strip()
     if not prefix:
@@ -447,8 +437,7 @@ def suggest(docs: DataFrame, prefix: str, size: int = 5) -> DataFrame:
     matches += [F.exists(c, lambda a: _phrase_prefix(a, asked)) for c in ("brand_aliases", "model_aliases")]
     matches.append(F.startswith("model_no", F.lit(prefix)))
     score = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(False)).cast("int") for m in matches])
-    best = (docs.withColumn("score", score).where(F.col("score") > 0)
-            .orderBy(F.desc("score"), "id").limit(size * 5))
+    best = docs.withColumn("score", score).where(F.col("score") > 0)
     terms = best.select("score", "id", F.posexplode(F.concat(
         F.array("brand_name", "model_name", "model_no"), "brand_aliases", "model_aliases")).alias("pos", "term"))
     fitting = terms.where((F.col("term") != "")

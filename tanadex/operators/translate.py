@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from tanadex.functions.text import has_han, has_kana, match_key, needs_translation, product_language
 from tanadex.model import TRANSLATION_TYPE
 from tanadex.operators.names import canonical_brand, canonical_model
-from tanadex.operators.scale import broadcast_if_small
 from tanadex.sources.dictionary import AliasDictionary
 
 
@@ -65,9 +64,9 @@ def translate_names(items: DataFrame, dictionary: AliasDictionary, brands: DataF
     then (for Japanese) the dictionary's first kana alias, else the name itself.
     """
     b, m = F.coalesce(F.col(brand), F.lit("")), F.coalesce(F.col(model), F.lit(""))
-    by_brand = broadcast_if_small(
+    by_brand = (
         brands.select(F.col("brand_name").alias("t_brand"), F.col(f"translations.{lang}").alias("t_brand_text")))
-    by_model = broadcast_if_small(
+    by_model = (
         models.select(F.col("brand_name").alias("t_brand"), F.col("model_name").alias("t_model"),
                       F.col(f"translations.{lang}").alias("t_model_text")))
     out = (items.withColumn("t_brand", b).withColumn("t_model", m)

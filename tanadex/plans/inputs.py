@@ -94,17 +94,18 @@ def dictionary(d: Dialect) -> str:
          m AS (SELECT p_brand AS brand, p_name AS model,
                       ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_name) - 1 AS model_ord
                FROM (SELECT DISTINCT p_brand, p_name FROM {d.t('part')}) x),
-         o AS (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)
+         b_n AS ({" UNION ALL ".join(f"SELECT *, {n} AS n FROM b" for n in range(5))}),
+         m_n AS ({" UNION ALL ".join(f"SELECT *, {n} AS n FROM m" for n in range(4))})
     SELECT 'watch' AS category, CAST(brand_ord AS BIGINT) AS brand_ord, brand,
            CAST(NULL AS BIGINT) AS model_ord, CAST(NULL AS STRING) AS model, CAST(n AS BIGINT) AS alias_ord,
            CASE n WHEN 0 THEN brand WHEN 1 THEN 'ブランド' || num WHEN 2 THEN '品牌' || num
                   WHEN 3 THEN 'Br ' || num ELSE upper(brand) END AS alias
-    FROM b JOIN o ON n >= 0
+    FROM b_n
     UNION ALL
     SELECT 'watch', CAST(brand_ord AS BIGINT), m.brand, CAST(model_ord AS BIGINT), model, CAST(n AS BIGINT),
            CASE n WHEN 0 THEN model WHEN 1 THEN 'モデル' || model WHEN 2 THEN '型号' || model
                   ELSE replace(model, ' ', '-') END
-    FROM m JOIN b ON m.brand = b.brand JOIN o ON n < 4"""
+    FROM m_n m JOIN b ON m.brand = b.brand"""
 
 
 def catalog(d: Dialect) -> str:

@@ -105,11 +105,9 @@ def _everything(queries: str) -> str:
 , hits AS (SELECT m.query_id, query, score, d.* FROM (SELECT * FROM matched
       UNION ALL SELECT query_id, id, 1.0::DOUBLE FROM {queries}, docs WHERE trim(query) IN ('', '*')) m
     JOIN docs d USING (id) JOIN {queries} USING (query_id)),
-recalled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-      ORDER BY last_seen_dt DESC NULLS LAST, score DESC, id) AS rec FROM hits) x WHERE rec <= 100),
 judged AS (SELECT *, lower(trim(query)) IN (lower(trim(brand_name)), lower(trim(model_name)), lower(trim(model_no)))
       OR list_contains([lower(trim(a)) FOR a IN brand_aliases], lower(trim(query)))
-      OR list_contains([lower(trim(a)) FOR a IN model_aliases], lower(trim(query))) AS exact FROM recalled),
+      OR list_contains([lower(trim(a)) FOR a IN model_aliases], lower(trim(query))) AS exact FROM hits),
 kept AS (SELECT * FROM (SELECT *, bool_or(exact) OVER (PARTITION BY query_id) AS any_exact FROM judged) x
       WHERE exact OR NOT any_exact)
 """
@@ -265,7 +263,7 @@ def search_page(i):
 
 @query("search_recall", _ranked_sql("last_seen_dt DESC NULLS LAST", 1, 100), "catalog", "dictionary", "search_queries")
 def search_recall(i):
-    return search.ranked(_hits(i), search.sort_order(None), 1, search.recall_size(20)).select(
+    return search.ranked(_hits(i), search.sort_order(None), 1, MAX_PAGE_SIZE).select(
         "query_id", "id", "score", "rank")
 
 
@@ -274,8 +272,7 @@ SELECT query_id, id, exact FROM kept""", "catalog", "dictionary", "search_querie
 def search_exact_narrow(i):
     docs, queries = _docs(i), i.search_queries
     found = search.match(queries, docs, fuzzy=False).unionByName(search.match_all(queries, docs))
-    hits = search.ranked(found.join(docs, "id"), search.sort_order(None), 1, search.MAX_RECALL)
-    judged = hits.join(queries, "query_id").withColumn("exact", search.is_exact(F.col("query")))
+    judged = found.join(docs, "id").join(queries, "query_id").withColumn("exact", search.is_exact(F.col("query")))
     return search.narrow(judged).select("query_id", "id", "exact")
 
 
@@ -303,7 +300,7 @@ def _scored(col: str) -> str:
       + CAST(len([a FOR a IN brand_aliases IF {_hit('a')}]) > 0 AS INT)
       + CAST(len([a FOR a IN model_aliases IF {_hit('a')}]) > 0 AS INT)
       + CAST(starts_with(model_no, 'Cold w') AS INT) AS score FROM docs),
-best AS (SELECT * FROM m WHERE score > 0 ORDER BY score DESC, id LIMIT 25),
+best AS (SELECT * FROM m WHERE score > 0),
 t AS (SELECT score, id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM best),
 f AS (SELECT term, min((-score, id, pos)) AS first FROM t WHERE starts_with(lower(term), 'cold w') GROUP BY term)
 SELECT term, CAST(row_number() OVER (ORDER BY first) AS INT) AS place FROM f ORDER BY first LIMIT 5""",

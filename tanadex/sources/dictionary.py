@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tanadex.functions.text import lower_key, match_key
 from tanadex.model import DEFAULT_CATEGORY, DICTIONARY_SCHEMA
-from tanadex.operators.scale import BROADCAST_ROWS, hinted, is_small
 
 
 def dictionary_rows(config, category: str = DEFAULT_CATEGORY):
@@ -31,9 +30,8 @@ def dictionary_rows(config, category: str = DEFAULT_CATEGORY):
 class AliasDictionary:
     """Lookup tables over flat dictionary rows (columns as in ``DICTIONARY_SCHEMA``)."""
 
-    def __init__(self, rows: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, rows: DataFrame):
         self.rows = rows.select(*DICTIONARY_SCHEMA.fieldNames())
-        self.is_small = is_small(self.rows, broadcast_rows)
         self._cache: dict[str, DataFrame] = {}
 
     @classmethod
@@ -51,10 +49,9 @@ class AliasDictionary:
         return cls.from_config(spark, config, category)
 
     def small(self, name: str, build) -> DataFrame:
-        """A lookup table, built once. No table has more rows than the dictionary, whose
-        counted size therefore decides whether lookups are broadcast."""
+        """A lookup table, planned once. Its size in bytes decides at run time whether it is broadcast."""
         if name not in self._cache:
-            self._cache[name] = hinted(build(), self.is_small)
+            self._cache[name] = build()
         return self._cache[name]
 
     @property

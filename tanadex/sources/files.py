@@ -77,11 +77,12 @@ def write_key_value_text(items: DataFrame, path: str) -> None:
 
 
 def parse_key_value_text(text: Column) -> Column:
-    """Map of the ``key: value`` lines of one text."""
+    """Map of the ``key: value`` lines of one text; the last line of a key counts."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"^\w+: "))
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(
-        F.regexp_extract(x, r"^(\w+): (.*)$", 1),
-        F.regexp_extract(x, r"^(\w+): (.*)$", 2))))
+    pairs = F.transform(lines, lambda x: F.struct(
+        F.regexp_extract(x, r"^(\w+): (.*)$", 1).alias("key"), F.regexp_extract(x, r"^(\w+): (.*)$", 2).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
 
 
 def read_key_value_text(spark: SparkSession, path: str, keys=TEXT_KEYS) -> DataFrame:

@@ -28,10 +28,14 @@ def dictionary(spark):
     return AliasDictionary(saved(AliasDictionary.from_config(spark, CONFIG).rows))
 
 
-@pytest.fixture(scope="module", params=["broadcast", "shuffle"])
+@pytest.fixture(params=["broadcast", "shuffle"])
 def any_dictionary(spark, request):
-    whole = AliasDictionary.from_config(spark, CONFIG)
-    return whole if request.param == "broadcast" else AliasDictionary(whole.rows, broadcast_rows=0)
+    """The size of a table decides how it is joined; with a limit of -1 nothing is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if request.param == "shuffle":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield AliasDictionary.from_config(spark, CONFIG)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 ITEMS = [

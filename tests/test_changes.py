@@ -12,7 +12,7 @@ SCHEMA = ("log_id long, category string, site string, item_id string, brand_name
           "model_no string, currency string, price int, image_original_key string, image_thumb_300_key string, "
           "image_thumb_600_key string, image_sha256 string, product_url string, status string, "
           "crawl_time timestamp, dt date")
-TINY = changes.Skew(min_rows=4, top=50, chunk_rows=3)
+TINY = changes.Skew(chunk_rows=3)
 
 
 def row(log_id, item, price, status="success", site="s", category="watch"):

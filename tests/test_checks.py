@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entries
+from tanadex.plans.registry import CHECKS, QUERIES
 from tests.check_tool import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,13 +15,14 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(entries.queries()) == set(entries.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(entries.queries()) and set(CHECKS) <= set(entries.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    verdict = compare(spark, con, FOLDER, name, entries.queries()[name], entries.oracle_sql()[name])
-    assert verdict.startswith("ok"), verdict
+    verdict = compare(spark, con, FOLDER, name, QUERIES[name], CHECKS[name])
+    assert verdict.startswith("ok ") and verdict != "ok but empty", verdict
 
 
 def test_entry(spark):
