@@ -176,8 +176,8 @@ def test_sort_filter_page_and_recall(spark, docs):
     assert [r.id for r in by_price.collect()] == [7, 9, 8, 4, 6, 5, 2, 1, 3]  # missing price last
     cheap = search.search(star, docs, filters={"max_price": 50, "category": "watch"}, page_size=2, page=2)
     assert [r.id for r in cheap.collect()] == [4]
-    assert {r.total for r in search.search(star, docs, page_size=1).collect()} == {5}
-    assert {r.total for r in search.search(star, docs, page_size=1, recall=None).collect()} == {9}
+    assert {r.total for r in search.search(star, docs, page_size=1, recall=5).collect()} == {5}
+    assert {r.total for r in search.search(star, docs, page_size=1).collect()} == {9}
 
 
 def osa(a, b):
