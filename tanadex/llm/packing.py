@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tanadex.llm.common import SPACE_CHARS, saved
+from tanadex.llm.common import saved
+from tanadex.llm.tokens import Pairs, merged
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
@@ -23,38 +27,89 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 8
-# Encoded words that a task keeps.
-KEPT_WORDS = 200_000
-BLANK = str.maketrans({c: " " for c in SPACE_CHARS})
+# Encoded words that a task keeps, and texts whose words are encoded together.
+KEPT_WORDS = 1_200_000
+BATCH_TEXTS = 500
+# Lower-case lines that the pre-tokenizer parts in two (others give nothing), and letters that lower case
+# and normal form leave alone.
+REGULAR = re.compile(r"^(?:([a-zà-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
+LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+
+
+class LetterMerges:
+    """Ids of lower-case words of letters, merged together in one array by the vocabulary's own merges.
+
+    A word is its UTF-8 bytes, each written as the character that stands for it in the vocabulary; the last carries
+    the mark of a word's end.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        # Bytes that can be printed stand for themselves, the others for the characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner = np.array([ids[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([ids[letter[b] + end] for b in range(256)], np.int64)
+        made = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.pairs = Pairs([ids[a] for a, _ in made], [ids[b] for _, b in made], [ids[a + b] for a, b in made],
+                           list(range(len(made))), max(ids.values()) + 1)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        points = np.frombuffer(b"".join(raw), np.uint8)
+        sym, ends = self.inner[points], np.cumsum(size) - 1
+        sym[ends] = self.last[points[ends]]
+        sym, seq = merged(sym, np.repeat(np.arange(len(raw)), size), len(raw), self.pairs)
+        data, at = sym.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=len(raw))))) * 4
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 class WordIds(dict):
-    """Token ids of white-space-parted words, as bytes. The pre-tokenizer never joins words over white space."""
+    """Token ids of white-space-parted words, as bytes. The pre-tokenizer never joins words over white space.
+
+    New words of Latin letters with a tail of ASCII punctuation are parted there, as the pre-tokenizer does, and their
+    letters are merged together; all other words and the tails are encoded by the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > KEPT_WORDS:
+        self.tokenizer, self.letters = Tokenizer.from_file(path), LetterMerges(path)
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def encode(self, words: list[str]) -> None:
+        plain = [w for w in words if LETTERS.fullmatch(w)]
+        for at in range(0, len(plain), 50_000):
+            self.parts.update(zip(plain[at:at + 50_000], self.letters.ids(plain[at:at + 50_000])))
+        for word in words:
+            if word not in self.parts:
+                self.parts[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) + len(self.parts) > KEPT_WORDS:
             self.clear()
+            self.parts = {"": b""}
         new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[word] = np.asarray(found.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a text, little-endian, with the end id."""
-        words = text.translate(BLANK).split(" ")
-        out = []
-        for at in range(0, len(words), KEPT_WORDS):
-            part = words[at:at + KEPT_WORDS]
-            self.learn(set(part))
-            out += [self[w] for w in part]
-        out.append(END_ID.to_bytes(4, "little"))
-        return b"".join(out)
+        if new:
+            joined = b"\n".join(new).decode()  # no word holds a line end
+            heads, tails = map(list, zip(*REGULAR.findall(joined.lower())))
+            if "" in heads:
+                whole = joined.split("\n")
+                heads = [h or w for h, w in zip(heads, whole)]
+            self.encode(list((set(heads) | set(tails)) - self.parts.keys()))
+            get = self.parts.__getitem__
+            self.update(zip(new, map(add, map(get, heads), map(get, tails))))
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text, little-endian, with the end id."""
+        split = [t.split() for t in texts]  # bytes part at ASCII white space only
+        self.learn(set().union(*split))
+        end = END_ID.to_bytes(4, "little")
+        for words in split:
+            yield b"".join(map(self.__getitem__, words)) + end
 
 
 def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -62,10 +117,9 @@ def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         words = WordIds(path or public_tokenizers.path(VOCABULARY))
-        for batch in batches:
+        for batch in (part.slice(at, BATCH_TEXTS) for part in batches for at in range(0, len(part), BATCH_TEXTS)):
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.ids(text or "")
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids([t or b"" for t in batch.column(1).to_pylist()])):
                 for k, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at:at + 4 * CAPACITY]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -75,7 +129,7 @@ def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
             .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
 
 
@@ -135,9 +189,7 @@ def evolve(size: list[int], elites: list[Bins], seed: int) -> Bins:
     Stops early at the least number of bins that the sum of sizes allows.
     """
     rng, least = np.random.default_rng(seed), -(-sum(size) // CAPACITY)
-    herd = [*elites]
-    if not herd:
-        herd.append(best_fit([], list(range(len(size))), size))
+    herd = sorted([*elites, best_fit([], list(range(len(size))), size)], key=lambda b: fitness(b, size), reverse=True)
     if len(herd[0]) > least:
         while len(herd) < POPULATION:
             herd.append(mutated(herd[0], size, rng))

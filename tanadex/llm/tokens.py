@@ -37,81 +37,96 @@ class Merges:
         place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
         names = dict.fromkeys([*score, *sorted({c for p in score for c in p})])
         self.symbol = {p: k for k, p in enumerate(names)}
-        self.size = len(self.symbol)
         self.loose = np.array([0 if p in score else len(p.encode()) for p in names], np.int64)
-        keys, into, rank = [], [], []
-        for p, s in score.items():
+        left, right, into, rank = [], [], [], []
+        for p, value in score.items():
             for cut in range(1, len(p)):
-                left, right = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
-                if left is not None and right is not None:
-                    keys.append(left * self.size + right)
+                if p[:cut] in self.symbol and p[cut:] in self.symbol:
+                    left.append(self.symbol[p[:cut]])
+                    right.append(self.symbol[p[cut:]])
                     into.append(self.symbol[p])
-                    rank.append(place[s])
-        order = np.argsort(keys)
-        self.keys = np.append(np.array(keys, np.int64)[order], NEVER)
-        self.into, self.rank = np.append(np.array(into, np.int64)[order], 0), np.append(np.array(rank, np.int64)[order], NEVER)
+                    rank.append(place[value])
+        self.pairs = Pairs(left, right, into, rank, len(self.symbol))
         # Two characters that stand side by side in no piece are always in different tokens.
         self.beside = {p[k:k + 2] for p in score for k in range(len(p) - 1)}
         self.longest_run = max((len(p) for p in score if set(p) == {MARK}), default=1)
 
+
+
+class Pairs:
+    """Merges of symbol pairs: a rank, low ones first, and the symbol that comes of each."""
+
+    def __init__(self, left: list[int], right: list[int], into: list[int], rank: list[int], size: int):
+        key = np.array(left, np.int64) * size + np.array(right, np.int64)
+        order = np.argsort(key)
+        self.size, self.key = size, np.append(key[order], NEVER)
+        self.into = np.append(np.array(into, np.int64)[order], 0)
+        self.rank = np.append(np.array(rank, np.int64)[order], NEVER)
+
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NEVER`` if there is no merge) and result of each pair of symbols; -1 is no symbol."""
         key = left * self.size + right
-        at = np.searchsorted(self.keys, key)
-        found = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        at = np.searchsorted(self.key, key)
+        found = (self.key[at] == key) & (left >= 0) & (right >= 0)
         return np.where(found, self.rank[at], NEVER), self.into[at]
 
 
-def merged_counts(words: list[str], merges: Merges) -> np.ndarray:
-    """Tokens of each pre-token.
+def merged(sym: np.ndarray, seq: np.ndarray, n: int, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that survive in each of ``n`` sequences, which lie one after another in a flat array.
 
-    All pre-tokens lie in one flat array. In each round every sequence finds its lowest-ranked pair, and all
-    sequences apply theirs at once: from the left, every place of that pair which does not overlap one already
-    applied. If such a merge opens a pair of the same or a lower rank beside it, the places right of it wait for the
-    next round, as they would in one-by-one merging.
+    In each round every sequence finds its lowest-ranked pair, and all sequences apply theirs at once: from the left,
+    every place of that pair which does not overlap one already applied. If such a merge opens a pair of the same or
+    a lower rank beside it, the places right of it wait for the next round, as they would in one-by-one merging.
     """
-    text = "".join(words)
-    table, points = merges.symbol, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    distinct, inverse = np.unique(points, return_inverse=True)
-    known = np.array([table.get(chr(c), -1) for c in distinct.tolist()], np.int64)
-    width = np.array([1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4 for c in distinct.tolist()], np.int64)
-    sym, seq = known[inverse], np.repeat(np.arange(len(words)), [len(w) for w in words])
-    counts = np.bincount(seq, np.where(sym < 0, width[inverse], 0), len(words)).astype(np.int64)
-    live = sym >= 0
-    counts += np.bincount(seq[live], minlength=len(words))
-    while len(sym) > 1:
-        rank, into = merges.find(sym[:-1], np.where(seq[1:] == seq[:-1], sym[1:], -1))
+    done, rank, into = [], *pairs.find(sym[:-1], np.where(seq[1:] == seq[:-1], sym[1:], -1))
+    rank, into = np.append(rank, NEVER)[:len(sym)], np.append(into, 0)[:len(sym)]  # of each symbol with the next
+    while len(sym):
         starts = np.flatnonzero(np.diff(seq, prepend=-1))
-        least = np.full(len(words), NEVER)
-        least[seq[starts]] = np.minimum.reduceat(np.append(rank, NEVER), starts)
-        go = (rank < NEVER) & (rank == least[seq[:-1]])
-        if not go.any():
-            break
-        places = np.flatnonzero(go)
+        least = np.full(n, NEVER)
+        least[seq[starts]] = np.minimum.reduceat(rank, starts)
+        # Sequences without a pair left are done.
+        live = least[seq] < NEVER
+        done.append((sym[~live], seq[~live]))
+        sym, seq, rank, into = sym[live], seq[live], rank[live], into[live]
+        places = np.flatnonzero((rank < NEVER) & (rank == least[seq]))
         # In a run of overlapping places every second one counts, from the run's first.
         run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
         inside = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
         places = places[inside % 2 == 0]
         new, owner = into[places], seq[places]
-        before = np.where((places > 0) & (seq[places - 1] == owner), sym[places - 1], -1)
-        touched = np.append(False, (np.diff(places) == 2) & (owner[1:] == owner[:-1]))
+        touched = np.append(False, (np.diff(places) == 2) & (owner[1:] == owner[:-1]))[:len(places)]
+        before_at = places - np.where(touched, 2, 1)
+        before = np.where((places > 0) & (seq[places - 1] == owner), sym[before_at], -1)
         before[touched] = new[np.flatnonzero(touched) - 1]
         after_at = np.minimum(places + 2, len(sym) - 1)
         after = np.where((places + 2 < len(sym)) & (seq[after_at] == owner), sym[after_at], -1)
-        opens = np.minimum(merges.find(before, new)[0], merges.find(new, after)[0]) <= rank[places]
+        (left_rank, left_into), (right_rank, right_into) = pairs.find(before, new), pairs.find(new, after)
+        opens = np.minimum(left_rank, right_rank) <= rank[places]
         # A place stands if no earlier place of its sequence in this round opened such a pair.
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         total = np.cumsum(opens) - opens
-        places_stand = total - np.repeat(total[first], np.diff(np.append(first, len(owner)))) == 0
-        places, new = places[places_stand], new[places_stand]
-        sym[places] = new
-        counts -= np.bincount(seq[places], minlength=len(words))
+        stands = total == np.repeat(total[first], np.diff(np.append(first, len(owner))))
+        at, some = places[stands], stands & (before >= 0)
+        sym[at], rank[at], into[at] = new[stands], right_rank[stands], right_into[stands]
+        rank[before_at[some]], into[before_at[some]] = left_rank[some], left_into[some]
         keep = np.ones(len(sym), bool)
-        keep[places + 1] = False
-        # Sequences without a pair left are done.
-        keep &= least[seq] < NEVER
-        sym, seq = sym[keep], seq[keep]
-    return counts
+        keep[at + 1] = False
+        sym, seq, rank, into = sym[keep], seq[keep], rank[keep], into[keep]
+    sym, seq = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
+    order = np.argsort(seq, kind="stable")
+    return sym[order], seq[order]
+
+
+def merged_counts(words: list[str], merges: Merges) -> np.ndarray:
+    """Tokens of each pre-token; a character that is no symbol counts its bytes."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    distinct, inverse = np.unique(points, return_inverse=True)
+    known = np.array([merges.symbol.get(chr(c), -1) for c in distinct.tolist()], np.int64)
+    width = np.array([len(chr(c).encode()) for c in distinct.tolist()], np.int64)
+    sym, seq = merged(known[inverse], np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words), merges.pairs)
+    strange = np.bincount(np.repeat(np.arange(len(words)), [len(w) for w in words])[known[inverse] < 0],
+                          width[inverse][known[inverse] < 0], len(words))
+    return np.bincount(seq[sym >= 0], minlength=len(words)) + strange.astype(np.int64)
 
 
 class Counter:
@@ -205,7 +220,7 @@ def _first_token(word: str, merges: Merges) -> str:
 
 def merges_rank(a: str, b: str, merges: Merges) -> int:
     left, right = merges.symbol.get(a, -1), merges.symbol.get(b, -1)
-    return int(merges.find(np.array([left]), np.array([right]))[0][0])
+    return int(merges.pairs.find(np.array([left]), np.array([right]))[0][0])
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
