@@ -22,69 +22,112 @@ SMOOTHING = 0.1
 STRAY = 1e-7
 # Longer words are scored in stretches of so many characters, which keeps products within floating range.
 STRETCH = 28
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 LEARN_WORDS = 20_000
+# Texts whose words are learnt together; a longer text learns its own.
+BATCH_TEXTS = 1000
+LONG_TEXT = 1_000_000
+# Characters that do not count at the edges of a word, and the multiplier of the substring hash.
+EDGES = ".,;:!?\"'()[]{}|#$%&*<>-+=/"
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Pieces:
+    """The text pieces of a public vocabulary, in lower case, found by hashes of all substrings of one length at once."""
+
+    def __init__(self, names: list[str]):
+        self.names = list(dict.fromkeys(names))
+        self.stray, self.none, self.size = len(self.names), len(self.names) + 1, len(self.names) + 2
+        by_length: dict[int, list[int]] = {}
+        for k, p in enumerate(self.names):
+            by_length.setdefault(len(p), []).append(k)
+        self.tables = {}
+        for n, numbers in by_length.items():
+            keys = hashed(codes_of([self.names[k] for k in numbers], n), n)[:, 0]
+            order = np.argsort(keys)
+            self.tables[n] = keys[order], np.array(numbers, np.int32)[order]
+
+    @classmethod
+    def load(cls, path: str) -> Pieces:
+        import sentencepiece
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return cls([model.id_to_piece(k).lower() for k in range(model.get_piece_size())
+                    if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))])
+
+    def find(self, codes: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, the piece that begins at each place of strings of equal length. A single character that is no
+        piece is the stray one; ``none`` stands where there is no piece."""
+        out = {}
+        for n, (keys, numbers) in self.tables.items():
+            if n <= codes.shape[1]:
+                h = hashed(codes, n)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                out[n] = np.where(keys[at] == h, numbers[at], self.stray if n == 1 else self.none)
+        if codes.shape[1] and 1 not in out:
+            out[1] = np.full(codes.shape, self.stray)
+        return out
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Numbers of the text pieces of a public vocabulary, in lower case."""
-    import sentencepiece
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(k).lower() for k in range(model.get_piece_size())
-             if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
-    return {p: k for k, p in enumerate(dict.fromkeys(names))}
-
-
-class Lattice:
-    """All pieces inside a list of strings: (string, start, end, piece), sorted by end and string."""
-
-    def __init__(self, strings: list[str], pieces: dict[str, int]):
-        stray, top, edges = len(pieces), max(map(len, pieces)), []
-        get = pieces.get
-        for k, s in enumerate(strings):
-            for a in range(len(s)):
-                edges.append((a + 1, k, a, get(s[a], stray)))
-                for b in range(a + 2, min(len(s), a + top) + 1):
-                    if (p := get(s[a:b])) is not None:
-                        edges.append((b, k, a, p))
-        self.strings, self.width = len(strings), max(map(len, strings), default=0)
-        self.length = np.array([len(s) for s in strings], np.int64)
-        table = np.array(edges, np.int64).reshape(-1, 4)
-        self.end, self.string, self.start, self.piece = table[np.lexsort((table[:, 1], table[:, 0]))].T
-        self.bounds = np.searchsorted(self.end, np.arange(self.width + 2))
-
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """Sum over the segmentations of each prefix, per language: (string, length, language)."""
-        alpha = np.zeros((self.strings, self.width + 1, probability.shape[1]))
-        alpha[:, 0] = 1
-        for t in range(1, self.width + 1):
-            part = slice(self.bounds[t], self.bounds[t + 1])
-            owner = self.string[part]
-            if len(owner):
-                first = np.flatnonzero(np.diff(owner, prepend=-1))
-                alpha[owner[first], t] = np.add.reduceat(
-                    alpha[owner, self.start[part]] * probability[self.piece[part]], first, axis=0)
-        return alpha
-
-    def totals(self, probability: np.ndarray) -> np.ndarray:
-        return self.forward(probability)[np.arange(self.strings), self.length]
-
-    def expected(self, probability: np.ndarray, weight: np.ndarray, language: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, per language; string k counts ``weight`` times in language ``language``."""
-        alpha, beta = self.forward(probability), np.zeros((self.strings, self.width + 1))
-        rows = np.arange(self.strings)
-        alpha = alpha[rows, :, language]
-        beta[rows, self.length] = weight / alpha[rows, self.length]
-        use = np.zeros(len(self.end))
-        for t in range(self.width, 0, -1):
-            part = slice(self.bounds[t], self.bounds[t + 1])
-            owner = self.string[part]
-            p = probability[self.piece[part], language[owner]]
-            use[part] = alpha[owner, self.start[part]] * p * beta[owner, t]
-            np.add.at(beta, (owner, self.start[part]), p * beta[owner, t])
-        out = np.zeros(probability.shape)
-        np.add.at(out, (self.piece, language[self.string]), use)
-        return out
+def codes_of(strings: list[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), width).astype(np.uint64)
+
+
+def hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every substring of ``n`` characters."""
+    last = codes.shape[1] - n + 1
+    h = np.zeros((len(codes), last), np.uint64)
+    for k in range(n):
+        h = (h ^ codes[:, k:k + last]) * BASE
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def forward(found: dict[int, np.ndarray], width: int, probability: np.ndarray) -> list[np.ndarray]:
+    """Sum over the segmentations of each prefix, by prefix length: (string, language)."""
+    rows = found[1].shape[0] if found else 0
+    alpha = [np.ones((rows, probability.shape[1]))]
+    for t in range(1, width + 1):
+        total = 0
+        for n, at in found.items():
+            if n <= t:
+                total = total + alpha[t - n] * probability[at[:, t - n]]
+        alpha.append(total)
+    return alpha
+
+
+def totals(strings: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """Probability of each string in each language, summed over all its segmentations."""
+    out = np.ones((len(strings), probability.shape[1]))
+    for width, rows in _by_length(strings):
+        found = pieces.find(codes_of([strings[k] for k in rows], width))
+        out[rows] = forward(found, width, probability)[width]
+    return out
+
+
+def expected(strings: list[str], pieces: Pieces, probability: np.ndarray, weight: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, per language; string k counts ``weight`` times in its language."""
+    langs = probability.shape[1]
+    out = np.zeros(probability.size)
+    for width, rows in _by_length(strings):
+        found, own = pieces.find(codes_of([strings[k] for k in rows], width)), language[rows]
+        alpha = [a[np.arange(len(rows)), own] for a in forward(found, width, probability)]
+        beta = [np.zeros(len(rows)) for _ in range(width)] + [weight[rows] / alpha[width]]
+        for t in range(width, 0, -1):
+            for n, at in found.items():
+                if n <= t:
+                    p = probability[at[:, t - n], own]
+                    out += np.bincount(at[:, t - n] * langs + own, alpha[t - n] * p * beta[t], len(out))
+                    beta[t - n] += p * beta[t]
+    return out.reshape(probability.shape)
+
+
+def _by_length(strings: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    size = np.array([len(s) for s in strings])
+    order = np.argsort(size, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        for at in range(0, len(rows), LEARN_WORDS):
+            if len(rows) and size[rows[0]]:
+                yield int(size[rows[0]]), rows[at:at + LEARN_WORDS]
 
 
 def stretches(word: str) -> list[str]:
@@ -109,66 +152,74 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
     is one number per piece and language.
     """
     path = path or _default_path()
-    pieces = vocabulary(path)
+    pieces = Pieces.load(path)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (usable.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order))
            .where(F.col("k") <= SAMPLE_DOCS).select("doc_id", "lang"))
     # The ids are bounded by SAMPLE_DOCS for each language, so they may be broadcast.
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    words = saved(texts.select("lang", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).where("word <> ''")
+    words = saved(texts.select("lang", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
+                  .select("lang", F.trim("word", F.lit(EDGES)).alias("word")).where("word <> ''")
                   .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).repartition(F.col("word")))
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     number = {x: k for k, x in enumerate(langs)}
-    probability = np.full((len(pieces) + 1, len(langs)), 1 / (len(pieces) + 1))
-    probability[-1] = STRAY
+    probability = np.full((pieces.size, len(langs)), 1 / pieces.size)
+    probability[pieces.stray:] = [[STRAY], [0]]
     for _ in range(ROUNDS if langs else 0):
         def uses(frames: Iterator[pd.DataFrame], p=probability) -> Iterator[pd.DataFrame]:
-            known, total = vocabulary(path), np.zeros(p.shape)
+            known, total = Pieces.load(path), np.zeros(p.shape)
             for frame in frames:
-                for at in range(0, len(frame), LEARN_WORDS):
-                    strings, weight, lang = [], [], []
-                    for x, w, n in frame.iloc[at:at + LEARN_WORDS].itertuples(index=False):
-                        for s in stretches(w):
-                            strings.append(s)
-                            weight.append(n)
-                            lang.append(number[x])
-                    total += Lattice(strings, known).expected(p, np.array(weight, float), np.array(lang))
+                strings, weight, lang = [], [], []
+                for x, w, n in frame.itertuples(index=False):
+                    for s in stretches(w):
+                        strings.append(s)
+                        weight.append(n)
+                        lang.append(number[x])
+                total += expected(strings, known, p, np.array(weight, float), np.array(lang, np.int64))
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "uses": total[piece, lang]})
         found = (words.select("lang", "word", "n").mapInPandas(uses, "piece long, lang long, uses double")
                  .groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas())
         counts = np.zeros(probability.shape)
         counts[found["piece"], found["lang"]] = found["uses"]
-        counts[-1] = 0
-        counts[:-1] += SMOOTHING
-        probability = counts / counts.sum(axis=0)
-        probability[-1] = STRAY
+        counts[:pieces.stray] += SMOOTHING
+        probability = counts / counts[:pieces.stray].sum(axis=0)
+        probability[pieces.stray:] = [[STRAY], [0]]
     return langs, probability
 
 
 class Scorer:
-    """Log-likelihoods of words in every language, each word scored once."""
+    """Log-likelihoods of words in every language, each word scored once, without case and outer punctuation."""
 
     def __init__(self, path: str, probability: np.ndarray):
-        self.pieces, self.probability = vocabulary(path), probability
+        self.pieces, self.probability = Pieces.load(path), probability
+        self.forget()
+
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, probability.shape[1]))
+        self.core: dict[str, int] = {"": 0}
+        self.rows = np.zeros((1, self.probability.shape[1]))
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        found = [self.rows]
-        for at in range(0, len(new), LEARN_WORDS):
-            parts = [stretches(w) for w in new[at:at + LEARN_WORDS]]
-            flat = np.log(Lattice([s for p in parts for s in p], self.pieces).totals(self.probability))
-            found.append(np.add.reduceat(flat, np.cumsum([0, *[len(p) for p in parts[:-1]]]), axis=0))
-        for w in new:
-            self.place[w] = len(self.place)
-        self.rows = np.concatenate(found)
-
-    def forget(self) -> None:
-        self.place.clear()
-        self.rows = self.rows[:0]
+        cores = {w: w.lower().strip(EDGES) for w in words if w not in self.place}
+        new = [c for c in set(cores.values()) if c not in self.core]
+        if new:
+            parts = [stretches(c) for c in new]
+            flat = np.log(totals([s for p in parts for s in p], self.pieces, self.probability))
+            self.core.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, np.add.reduceat(flat, np.cumsum([0, *[len(p) for p in parts[:-1]]]), axis=0)])
+        self.place.update((w, self.core[c]) for w, c in cores.items())
+
+    def total(self, text: str) -> np.ndarray:
+        words, total = text.split(), np.zeros(self.probability.shape[1])
+        for at in range(0, len(words), KEPT_WORDS):
+            part = words[at:at + KEPT_WORDS]
+            if len(words) > KEPT_WORDS:
+                self.forget()
+            self.learn({w for w in part if w not in self.place})
+            total += self.rows[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        return total
 
 
 def predictions(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -183,38 +234,22 @@ def predictions(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or _default_path()
     langs, probability = fit(docs.select("doc_id", "text", "lang"), path)
 
-    def judge(scorer: Scorer, text: str) -> tuple[str, float]:
-        words = text.lower().split()
-        total = np.zeros(len(langs))
-        for at in range(0, len(words), KEPT_WORDS):
-            part = words[at:at + KEPT_WORDS]
-            if len(scorer.place) > KEPT_WORDS:
-                scorer.forget()
-            if missing := {w for w in part if w not in scorer.place}:
-                scorer.learn(missing)
-            total += scorer.rows[np.fromiter(map(scorer.place.__getitem__, part), np.int64, len(part))].sum(axis=0)
+    def judge(total: np.ndarray) -> tuple[str, float]:
         best = int(total.argmax())
         return langs[best], float(1 / np.exp(total - total[best]).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(path, probability)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                plain = [bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
-                if len(scorer.place) > KEPT_WORDS:
-                    scorer.forget()
-                known = set()
-                for t, ok in zip(texts, plain):
-                    if ok and len(known) < KEPT_WORDS:
-                        known.update(t.lower().split())
-                if known:
-                    scorer.learn(known)
-                found = [judge(scorer, t) if ok else (UNKNOWN, 0.0) for t, ok in zip(texts, plain)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in found], pa.string()),
-                     pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in (b.slice(at, BATCH_TEXTS) for b in batches for at in range(0, len(b), BATCH_TEXTS)):
+            texts = part.column(1).to_pylist()
+            plain = [bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
+            if len(scorer.place) > KEPT_WORDS:
+                scorer.forget()
+            scorer.learn(set().union(*[t.split() for t, ok in zip(texts, plain) if ok and len(t) < LONG_TEXT]))
+            found = [judge(scorer.total(t)) if ok else (UNKNOWN, 0.0) for t, ok in zip(texts, plain)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([x for x, _ in found], pa.string()),
+                 pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double")
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
