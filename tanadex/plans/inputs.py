@@ -29,6 +29,12 @@ HALF = "BRANDbrand#0123456789"
 FULL = "ＢＲＡＮＤｂｒａｎｄ＃０１２３４５６７８９"
 
 
+# An id for every order line: order and line number repeat, so lines of one number are counted among themselves.
+ID_STEP = 1009
+LINE_ID = (f"(l_orderkey * 8 + l_linenumber) * {ID_STEP} + row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
+           "ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1")
+
+
 def crawl_log(d: Dialect) -> str:
     sha = d.sha.format("'image' || CAST(user_id AS STRING)")
     key = f"CASE WHEN user_id % 4 > 0 THEN '{{0}}' || substring({sha}, 1, 2) || '/' || {sha} || '{{1}}' END"
@@ -77,11 +83,10 @@ def listing(d: Dialect) -> str:
       CASE WHEN o.id % 4 > 0 THEN 'thumb/300/' || CAST(o.id AS STRING) || '.webp' END AS image_thumb_300_key,
       'https://shop.example/products/' || CAST(o.id AS STRING) AS product_url,
       CAST(NULL AS BIGINT) AS product_id
-    FROM (SELECT l_orderkey * 8 + l_linenumber AS id, MIN(l_linenumber) AS line,
-                 MIN(l_partkey) AS partkey, MIN(l_suppkey) AS suppkey, MAX(l_extendedprice) AS amount,
-                 CAST(MIN(l_shipdate) AS DATE) AS first_seen_dt, CAST(MAX(l_shipdate) AS DATE) AS last_seen_dt,
-                 MIN(l_shipdate) AS created_at, MAX(l_shipdate) AS updated_at
-          FROM {d.t('lineitem')} GROUP BY l_orderkey * 8 + l_linenumber) o
+    FROM (SELECT {LINE_ID} AS id, l_linenumber AS line, l_partkey AS partkey, l_suppkey AS suppkey,
+                 l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS first_seen_dt, CAST(l_shipdate AS DATE) AS last_seen_dt,
+                 l_shipdate AS created_at, l_shipdate AS updated_at
+          FROM {d.t('lineitem')}) o
     JOIN {d.t('part')} ON p_partkey = partkey"""
 
 
@@ -160,8 +165,7 @@ def titles(d: Dialect) -> str:
            WHEN line % 4 = 2 THEN replace(p_brand, '#', '.#') || ' ' || replace(p_name, ' ', '. ') || ' Z'
                                   || CAST(p_partkey AS STRING)
            ELSE 'Unknown ' || p_name || ' ' || CAST(p_partkey AS STRING) || 'Q レディース' END AS title
-    FROM (SELECT l_orderkey * 8 + l_linenumber AS id, MIN(l_linenumber) AS line, MIN(l_partkey) AS partkey
-          FROM {d.t('lineitem')} GROUP BY l_orderkey * 8 + l_linenumber) o
+    FROM (SELECT {LINE_ID} AS id, l_linenumber AS line, l_partkey AS partkey FROM {d.t('lineitem')}) o
     JOIN {d.t('part')} ON p_partkey = partkey"""
 
 

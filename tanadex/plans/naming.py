@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tanadex.functions import text
 from tanadex.operators import names, products, titles, translate
 from tanadex.operators.scale import saved
-from tanadex.plans.inputs import FULL, HALF
+from tanadex.plans.inputs import FULL, HALF, ID_STEP
 from tanadex.plans.registry import query
 from tanadex.sources.dictionary import AliasDictionary
 
@@ -105,14 +105,14 @@ def product_key(i):
     return names.normalize_items(i.listing, dictionary_of(i)).select("id", names.product_key().alias("key"))
 
 
-@query("match_products", canon("listing") + """
+@query("match_products", canon("listing") + f"""
 , keyed AS (SELECT id, concat_ws('|', category, brand_std, model_std, model_no_std) AS key FROM named)
-SELECT a.id AS id_a, b.id AS id_b, a.key = b.key AS same_product FROM keyed a JOIN keyed b ON b.id = a.id + 1""",
+SELECT a.id AS id_a, b.id AS id_b, a.key = b.key AS same_product FROM keyed a JOIN keyed b ON b.id = a.id + {ID_STEP}""",
        "listing", "dictionary")
 def match_products(i):
     """Pairs of neighbouring order lines."""
     ids = i.listing.select("id")
-    pairs = ids.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")).join(
+    pairs = ids.select(F.col("id").alias("id_a"), (F.col("id") + ID_STEP).alias("id_b")).join(
         ids.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
     return names.match_products(pairs, i.listing, dictionary_of(i))
 
@@ -245,6 +245,19 @@ def list_translated(i):
     return listed(i).select("id", "brand_name_translated", "model_name_translated")
 
 
+@query("search_translated", canon("listing") + _translate_sql("zh") + f"""
+SELECT id, CASE WHEN other THEN nullif(brand_tr, '') END AS brand_name_translated,
+  CASE WHEN other THEN nullif(model_tr, '') END AS model_name_translated
+FROM (SELECT *, brand_name <> '' AND model_name <> ''
+        AND ({language_of("(brand_name || ' ' || model_name)")}) <> 'zh' AS other FROM moved) x""", "listing", "dictionary")
+def search_translated(i):
+    """Search pages show a translation even where it equals the name."""
+    d = dictionary_of(i)
+    shown = translate.translate_listing(i.listing, d, translate.brand_translations(d), translate.model_translations(d),
+                                        "zh", only_if_different=False)
+    return shown.select("id", "brand_name_translated", "model_name_translated")
+
+
 # ---- aliases ------------------------------------------------------------------------------
 
 ALIASES = """

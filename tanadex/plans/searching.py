@@ -184,6 +184,15 @@ def inspect_brand(i):
     return _flat(search.inspect_brand(_docs(i), "Brand#13"))
 
 
+@query("inspect_model", DOCS + f"""
+, asked AS (SELECT p_name FROM part ORDER BY p_partkey LIMIT 1)
+SELECT {FLAT} FROM docs, asked WHERE list_has_any({_toks('model_name')}, {_toks('p_name')})""", "catalog", "dictionary")
+def inspect_model(i):
+    """All documents that share a model word with the first part."""
+    name = i.table("part").orderBy("p_partkey").select("p_name").first()[0]
+    return _flat(search.inspect_model(_docs(i), name))
+
+
 @query("alias_coverage", DOCS + """
 SELECT brand_name, count(*) AS n_docs, count(*) FILTER (contains(all_text, 'hot-')) AS n_with,
   count(*) FILTER (NOT contains(all_text, 'hot-')) AS n_without
