@@ -7,8 +7,9 @@ read from the match. Page HTML is rarely well-formed, so XML functions do not ap
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -17,16 +18,9 @@ from tanadex.functions.transforms import first_match, java_pattern
 
 STRATEGIES: dict[str, Callable[[Column, dict], Column]] = {}
 
-# Named entities that listing pages use.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&yen;": "¥",
-    "&amp;": "&",
-}
+# Names of the character references of HTML; a no-break space is read as a space.
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")} | {"nbsp": " "}
+LAST_POINT, SURROGATES = 0x10FFFF, (0xD800, 0xDFFF)
 JSON_LD = (r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>")
 
 
@@ -38,27 +32,25 @@ def strategy(name: str):
     return register
 
 
-def _decoded(char_of: Callable[[Column], Column], pattern: str):
-    """Replace the numeric references of one notation."""
-    def decode(piece, i):
-        number = F.regexp_extract(piece, pattern, 1)
-        char = F.decode(F.unhex(F.lpad(char_of(number), 8, "0")), "UTF-32")
-        return (F.when(i == 0, piece)
-                .when(piece.rlike(pattern), F.concat(char, F.regexp_replace(piece, pattern, "")))
-                .otherwise(F.concat(F.lit("&#"), piece)))
-    return lambda text: F.array_join(F.transform(F.split(text, "&#"), decode), "")
+def _reference(names: Column):
+    """Decode the reference that follows an ampersand; what is none keeps it."""
+    def decode(piece: Column, i: Column) -> Column:
+        decimal = F.nullif(F.regexp_extract(piece, r"^#0*(\d{1,7});", 1), F.lit(""))
+        hexadecimal = F.nullif(F.regexp_extract(piece, r"^#[xX]0*([0-9A-Fa-f]{1,6});", 1), F.lit(""))
+        point = F.coalesce(decimal.cast("bigint"), F.conv(hexadecimal, 16, 10).cast("bigint"))
+        real = point.between(1, LAST_POINT) & ~point.between(*SURROGATES)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(
+            F.try_element_at(names, F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)))
+        return (F.when(i == 0, piece).when(char.isNotNull(), F.concat(char, F.regexp_replace(piece, r"^[^;]*;", "")))
+                .otherwise(F.concat(F.lit("&"), piece)))
+    return decode
 
 
 def decode_entities(col: Column) -> Column:
-    """Numeric references and the common named entities to their characters."""
-    decimal = _decoded(lambda n: F.hex(n.try_cast("bigint")), r"^(\d{1,6});")
-    hexadecimal = _decoded(lambda n: n, r"^[xX]([0-9A-Fa-f]{1,5});")
-
-    def named(text):
-        return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
-
-    return let(col, lambda raw: F.when(~raw.contains("&"), raw).otherwise(named(
-        F.when(raw.contains("&#"), hexadecimal(decimal(raw))).otherwise(raw))))
+    """Numeric and named character references to their characters, once; unknown ones stay as written."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folds to one constant
+    return let(col, lambda raw: F.when(~raw.contains("&"), raw).otherwise(
+        F.array_join(F.transform(F.split(raw, "&"), _reference(names)), "")))
 
 
 def text_content(markup: Column) -> Column:

@@ -40,3 +40,12 @@ def test_functions_load_where_the_package_is_not(tmp_path):
     done = subprocess.run([sys.executable, "-c", CODE.format(root=ROOT)], cwd=tmp_path, env=env, capture_output=True,
                           text=True, timeout=180)
     assert "FOUND" in done.stdout, done.stderr[-800:]
+
+
+def test_all_character_references_are_decoded(spark):
+    from tanadex.functions.strategies import decode_entities
+    cases = {"&#x000027;": "'", "&#x10FFFD;": "\U0010fffd", "&#0000039;": "'", "&euro;&copy;&eacute;": "€©é", "&amp;lt;": "&lt;",
+             "a & b &nope; &#xD800; &#99999999; &#0;": "a & b &nope; &#xD800; &#99999999; &#0;", "x&nbsp;y": "x y", "&#38;lt;": "&lt;"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.d for r in rows.select("t", decode_entities(F.col("t")).alias("d")).collect()}
+    assert got == cases
