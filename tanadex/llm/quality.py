@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tanadex.llm.common import words_of, wrapped
 
-# Hash buckets of the multinomials: the whole model is so many numbers.
-BUCKETS = 1 << 14
+# Hash buckets of the multinomials: the whole model is so many numbers. Few enough that each is well filled by a small
+# corpus too, so that clean texts outside the trusted ones do not score low for their own rare words.
+BUCKETS = 1 << 10
 # Trusted documents are at most this many labelled rows, those of smallest hash.
 TRUSTED_ROWS = 20_000
 # A text is rejected if each n-gram is, in the mean, so much less likely (in nats) as trusted than as raw text.
-THRESHOLD = -0.1
+THRESHOLD = -0.06
 END = "\n"
 
 
@@ -36,9 +37,11 @@ def word_grams(words: Column, value) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log p(bucket | trusted) - log p(bucket | raw) for every bucket, each count plus one.
+    """log p(bucket | trusted) - log p(bucket | raw) for every bucket.
 
-    Every document counts in the raw multinomial. The result has ``BUCKETS`` numbers whatever the input.
+    Every document counts in the raw multinomial, with one more in each bucket. The trusted one has ``BUCKETS`` more
+    n-grams spread as the raw ones are, so with few or no trusted documents the ratios tend to zero. The result has
+    ``BUCKETS`` numbers whatever the input.
     """
     # The trusted ids are bounded by TRUSTED_ROWS, so they may be broadcast.
     marked = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(
@@ -46,12 +49,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     grams = marked.select(F.explode(F.flatten(word_grams(F.col("words"), F.array))).alias("b"),
                           F.coalesce("good", F.lit(0)).alias("good"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+    raw, good = [1] * BUCKETS, [0] * BUCKETS
     for r in rows:
         raw[r.b] += r.raw
         good[r.b] += r.good
-    shift = math.log(sum(raw)) - math.log(sum(good))
-    return [math.log(g) - math.log(r) + shift for g, r in zip(good, raw)]
+    n_raw, n_good = sum(raw), sum(good)
+    return [math.log((g * n_raw / r + BUCKETS) / (n_good + BUCKETS)) for g, r in zip(good, raw)]
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -83,8 +86,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     Score: mean over all n-grams (words and word pairs) of the trusted to raw log-ratio. ``kept`` is false if a base
     rule fails or the score is below the threshold; every document is judged by the same fixed rule. A null text has
-    no words, score 0, and fails the base rules. Repeated rows are judged alike; without trusted labels the ratio is
-    flat over all n-grams seen, and the threshold alone decides.
+    no words, score 0, and fails the base rules. Repeated rows are judged alike; without trusted labels every score is
+    0, and the base rules alone decide.
     """
     # One text constant of BUCKETS numbers, which folds to one array constant.
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, trusted_ids(labels))))), ",").cast("array<double>")
