@@ -93,7 +93,9 @@ def slots(sources: DataFrame) -> DataFrame:
     t = t.withColumn("all_slots", F.sum("n_slots").over(W.orderBy(F.lit(1)).rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing)))
     parts = t.where("n_slots > 0").withColumn("part", F.explode(F.expr(f"sequence(0, (n_slots - 1) div {SHARD_SLOTS})")))
-    each = (parts.repartition("skey", "part").withColumn("slot", F.explode(F.expr(
+    # A given number of partitions, since a part is one row before and thousands after; its size would merge them all.
+    n_tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = (parts.repartition(n_tasks, "skey", "part").withColumn("slot", F.explode(F.expr(
         f"sequence(part * {SHARD_SLOTS}, least(n_slots, (part + 1) * {SHARD_SLOTS}) - 1)")))
         .withColumn("pass", F.expr("slot div blocks")).withColumn("k", F.expr("slot % blocks")))
     block = F.when(F.col("k") == F.col("full"), F.col("k")).otherwise(
@@ -122,7 +124,8 @@ def taken_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     cut = placed.select("rid", "skey", "block", (first - F.col("start")).alias("lo"), (end - F.col("start")).alias("hi"),
                         (first - F.col("block") * BLOCK).alias("inside"))
-    met = cut.join(blocks, ["skey", "block"])
+    # The blocks grow with the corpus, which the planner cannot see behind the rows that make them: no broadcast.
+    met = cut.join(blocks.hint("merge"), ["skey", "block"])
     spans = met.withColumn("n", F.transform("takes", lambda w: F.least(
         F.col("hi") - F.col("lo"), F.greatest(F.lit(0), w - F.col("inside")))))
     return keyed, sources, spans.select("rid", "lo", "hi", "n")
