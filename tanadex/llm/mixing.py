@@ -166,6 +166,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     joined = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(
         F.col("words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
     once = (F.col("taken") == F.col("size")) & F.forall("spans", lambda s: s["turn"] == 0)
+    # A second use of the words keeps them a column; else each span would part the whole text again.
+    joined = F.when(F.size("words") > 0, joined)
     out = met.withColumn("new", F.when(once, F.col("text")).otherwise(joined))
     change = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return out.select(*[change.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
