@@ -114,20 +114,22 @@ def jsonld_strategy(html: Column, config: dict) -> Column:
     return let(block, lambda b: F.coalesce(json_path(b, path), b))
 
 
-def json_path(block: Column, path: str, list_depth: int = 3) -> Column:
-    """Value at a dotted path; a list at the root is searched for its first hit.
-
-    Lists inside lists are opened ``list_depth`` levels deep.
-    """
+def json_path(block: Column, path: str) -> Column:
+    """Value at a dotted path; lists at the root, nested to any depth, are searched for their first hit."""
     steps = "$" + "".join(f"['{key}']" for key in path.split("."))
-    direct = F.get_json_object(block, steps)
-    if list_depth == 0:
-        return direct
-    members = F.from_json(block, "array<string>")
-    inner = F.get(F.filter(
-        F.transform(members, lambda m: json_path(m, path, list_depth - 1)),
-        lambda v: v.isNotNull()), F.lit(0))
-    return F.when(block.rlike(r"^\s*\["), inner).otherwise(direct)
+
+    def is_list(text):
+        return text.rlike(r"^\s*\[")
+
+    def opened(members, _):
+        inner = F.flatten(F.transform(members, lambda m: F.when(is_list(m), F.coalesce(
+            F.from_json(m, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(m))))
+        return F.when(F.exists(members, is_list), F.filter(inner, lambda m: m.isNotNull())).otherwise(members)
+    # No list lies deeper than there are opening brackets; rounds without a list left cost one look.
+    rounds = F.greatest(F.length(F.regexp_replace(block, r"[^\[]", "")), F.lit(1))
+    members = F.aggregate(F.sequence(F.lit(1), rounds), F.array(block).cast("array<string>"), opened)
+    hits = F.filter(F.transform(members, lambda m: F.get_json_object(m, steps)), lambda v: v.isNotNull())
+    return F.when(is_list(block), F.get(hits, F.lit(0))).otherwise(F.get_json_object(block, steps))
 
 
 @strategy("tag")

@@ -49,3 +49,10 @@ def test_all_character_references_are_decoded(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.d for r in rows.select("t", decode_entities(F.col("t")).alias("d")).collect()}
     assert got == cases
+
+
+def test_values_in_deep_lists_are_found(spark):
+    from tanadex.functions.strategies import json_path
+    deep = '[1, ["x"], [[[[[[{"b": 0}, {"a": {"c": 7}}]]]]]], {"a": {"c": 8}}]'
+    rows = spark.createDataFrame([(deep,), ('{"a": {"c": 5}}',), ("[]",), ("[[",)], "t string")
+    assert [r.v for r in rows.select(json_path(F.col("t"), "a.c").alias("v")).collect()] == ["7", "5", None, None]
