@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tanadex.llm.common import words_of, wrapped
 
-# Hash buckets of the multinomials: the whole model is so many numbers. Few enough that each is well filled by a small
-# corpus too, so that clean texts outside the trusted ones do not score low for their own rare words.
+# Hash buckets of the multinomials: the whole model is so many numbers. Their number grows with the corpus, by powers of
+# two from BUCKETS to MOST_BUCKETS: a small corpus fills each with FILL n-grams, so that clean texts outside the trusted
+# ones do not score low for their own rare words, and a large one does not mix good and junk n-grams in few buckets.
 BUCKETS = 1 << 10
+MOST_BUCKETS = 1 << 14
+FILL = 128
 # Trusted documents are at most this many labelled rows, those of smallest hash.
 TRUSTED_ROWS = 20_000
 # A text is rejected if each n-gram is, in the mean, so much less likely (in nats) as trusted than as raw text.
@@ -27,34 +30,44 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def bucket(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
+def buckets_for(n_grams: int) -> int:
+    """The number of buckets for a corpus of so many n-grams."""
+    n = BUCKETS
+    while n < MOST_BUCKETS and 2 * n * FILL <= n_grams:
+        n *= 2
+    return n
 
 
-def word_grams(words: Column, value) -> Column:
-    """``value(single, pair)`` of the buckets at each word; the last word is paired with an end mark."""
-    return F.transform(words, lambda w, i: value(bucket(w), bucket(w, F.coalesce(F.get(words, i + 1), F.lit(END)))))
+def bucket(n: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(n)).cast("int")
+
+
+def word_grams(words: Column, n: int, value) -> Column:
+    """``value(single, pair)`` of the buckets of ``n`` at each word; the last word is paired with an end mark."""
+    return F.transform(words, lambda w, i: value(bucket(n, w), bucket(n, w, F.coalesce(F.get(words, i + 1), F.lit(END)))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log p(bucket | trusted) - log p(bucket | raw) for every bucket.
 
-    Every document counts in the raw multinomial, with one more in each bucket. The trusted one has ``BUCKETS`` more
-    n-grams spread as the raw ones are, so with few or no trusted documents the ratios tend to zero. The result has
-    ``BUCKETS`` numbers whatever the input.
+    Every document counts in the raw multinomial, with one more in each bucket. The trusted one has as many more
+    n-grams as there are buckets, spread as the raw ones are, so with few or no trusted documents the ratios tend to
+    zero. N-grams are counted once, in ``MOST_BUCKETS``; powers of two fold into ``buckets_for`` all of them, which is
+    the length of the result.
     """
     # The trusted ids are bounded by TRUSTED_ROWS, so they may be broadcast.
     marked = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(
         F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.explode(F.flatten(word_grams(F.col("words"), F.array))).alias("b"),
+    grams = marked.select(F.explode(F.flatten(word_grams(F.col("words"), MOST_BUCKETS, F.array))).alias("b"),
                           F.coalesce("good", F.lit(0)).alias("good"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [0] * BUCKETS
+    n = buckets_for(sum(r.raw for r in rows))
+    raw, good = [1] * n, [0] * n
     for r in rows:
-        raw[r.b] += r.raw
-        good[r.b] += r.good
+        raw[r.b % n] += r.raw
+        good[r.b % n] += r.good
     n_raw, n_good = sum(raw), sum(good)
-    return [math.log((g * n_raw / r + BUCKETS) / (n_good + BUCKETS)) for g, r in zip(good, raw)]
+    return [math.log((g * n_raw / r + n) / (n_good + n)) for g, r in zip(good, raw)]
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -89,9 +102,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     no words, score 0, and fails the base rules. Repeated rows are judged alike; without trusted labels every score is
     0, and the base rules alone decide.
     """
-    # One text constant of BUCKETS numbers, which folds to one array constant.
-    ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, trusted_ids(labels))))), ",").cast("array<double>")
-    total = F.aggregate(word_grams(F.col("words"), lambda a, b: F.get(ratios, a) + F.get(ratios, b)), F.lit(0.0),
+    # One text constant of a number for each bucket, which folds to one array constant.
+    found = log_ratios(docs, trusted_ids(labels))
+    ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
+    total = F.aggregate(word_grams(F.col("words"), len(found), lambda a, b: F.get(ratios, a) + F.get(ratios, b)), F.lit(0.0),
                         lambda acc, x: acc + x)
     scored = with_statistics(docs).withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")))
                                               .otherwise(0.0)).drop("words")

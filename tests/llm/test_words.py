@@ -67,6 +67,17 @@ def test_quality_keeps_good_and_drops_most_bad(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_buckets_grow_with_the_corpus(spark, size):
+    """Junk of plain words does not hide in mixed buckets of a larger corpus, and good texts stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, labels).select("row.doc_id", "kept", "base_failed").join(labels, "doc_id").collect()
+    plain = [r.kept for r in rows if r.quality == 0 and r.toxic == 0 and not r.base_failed]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert plain and sum(plain) <= 0.1 * len(plain) and sum(bad) <= 0.2 * len(bad)
+    assert all(r.kept for r in rows if r.quality == 1 and not r.base_failed)
+
+
 def test_native_operators_have_no_python(spark):
     docs, labels = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "labels"))
     from tanadex.llm import lines
