@@ -15,6 +15,11 @@ from tanadex.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# A source is far larger than a host of pages, so its repeated lines stand on a smaller share of its documents. A line is
+# dropped on more than this share of a source's documents (and no fewer than lines.MIN_PAGES), if it has so many words.
+LINE_RATIO = 0.05
+LINE_WORDS = 3
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or score low as trusted text go."""
@@ -23,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many documents of a source go; a document keeps its row and its other lines."""
-    cut = lines.without_boilerplate(docs, F.col("source"), F.col("text"))
+    cut = lines.without_boilerplate(docs, F.col("source"), F.col("text"), max_ratio=LINE_RATIO, min_words=LINE_WORDS)
     change = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.select(*[change.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tanadex.llm.common import SPACE_CHARS, wrapped
+from tanadex.llm.common import SPACE_CHARS, words_of, wrapped
 
 # A line is boilerplate on a host if more than this share of the host's pages hold it, and no fewer than so many pages.
 MAX_RATIO = 0.1
@@ -33,13 +33,14 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(SPACE_CHARS))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
     """(host, drops): hashes of the boilerplate lines of each host, from (host, lines).
 
-    A page counts once for each line it holds; counts are summed before they are shuffled. A host has at most
+    Lines of fewer than ``min_words`` words are never boilerplate; at 1 all lines can be. A page counts once for each line it holds; counts are summed before they are shuffled. A host has at most
     (distinct lines per page) / ratio such lines, so the array does not grow with the host.
     """
-    held = F.array_distinct(F.filter(F.transform("lines", _bare), lambda x: x != ""))
+    long = (lambda x: x != "") if min_words <= 1 else (lambda x: F.size(words_of(x)) >= min_words)
+    held = F.array_distinct(F.filter(F.transform("lines", _bare), long))
     counts = (pages.select("host", F.explode(held).alias("line")).groupBy("host", F.xxhash64("line").alias("h"))
               .agg(F.count(F.lit(1)).alias("n")))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
@@ -49,16 +50,16 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 
 def without_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO,
-                        min_pages: int = MIN_PAGES) -> DataFrame:
+                        min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
     """``row`` with host, n_lines, n_dropped and the text of the lines that stay, for every row of ``docs``.
 
     Lines end at \\n and are compared without outer white space; blank lines are no lines to count and always stay.
     A null text stays null with no lines; a null host counts as the empty host. Repeated rows count as pages of their
-    own. A line on exactly ``max_ratio`` of the pages stays. Very long texts stay inside their row.
+    own. A line on exactly ``max_ratio`` of the pages stays, and so does a line of fewer than ``min_words`` words. Very long texts stay inside their row.
     Pages meet their host's lines dealt out over ``SALTS`` pieces, so a host with a third of all pages is no hot group.
     """
     base = docs.select(F.coalesce(host, F.lit("")).alias("host"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
-    drops = boilerplate(base, max_ratio, min_pages)
+    drops = boilerplate(base, max_ratio, min_pages, min_words)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     dealt = drops.select("host", "drops", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = (wrapped(docs, host=F.coalesce(host, F.lit("")), text=text).withColumn("salt", salt)

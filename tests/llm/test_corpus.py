@@ -53,6 +53,18 @@ def test_lines_against_brute_force(spark):
     assert lines.without_boilerplate(empty(spark), F.col("source"), F.col("text")).count() == 0
 
 
+def test_pipeline_drops_template_lines_of_every_source(spark):
+    """A line on 8, 10 or 13 of 100 documents of a source goes; short fragments and rarer lines stay."""
+    rows = []
+    for s, often in (("a", 8), ("b", 10), ("c", 13)):
+        for k in range(100):
+            text = [f"own line {s} {k}", "one template line of the site" if k < often else "", "de" if k % 2 else "",
+                    " two\twords " if k % 3 else "", "a rarer line here" if k < 5 else ""]
+            rows.append((len(rows), "\n".join(text), "en", s, 1))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), TINY).collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if x != "one template line of the site") for d, t, *_ in rows}
+
+
 def brute_print(text, shingle=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = words(low)
