@@ -81,8 +81,8 @@ def slots(sources: DataFrame) -> DataFrame:
 
     A source of S words and target T, rounded, gives T div S passes over all its blocks, and from one more pass as
     many blocks as the rest needs, the last in part. In each pass its slots map through a permutation of its own to
-    whole blocks; the short last block comes last. Each slot draws its output shard by a hash, so the counts of the
-    sources in a shard are multinomial draws, and over all shards a source has its target exactly.
+    whole blocks; the short last block comes last. Each slot draws its output shard by a seeded hash, so the slots of a
+    source fall to the shards as one multinomial draw of all of them, and over all shards a source has its target exactly.
     """
     t = (sources.where("source_size > 0").withColumn("want", F.round("target").cast("long"))
          .withColumn("full", F.expr(f"source_size div {BLOCK}")).withColumn("tail", F.expr(f"source_size % {BLOCK}"))
@@ -107,9 +107,9 @@ def slots(sources: DataFrame) -> DataFrame:
 
 
 def taken_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sized documents, source table, and (rid, lo, hi, times, part) of the blocks that the mix takes.
+    """Sized documents, source table, and (rid, lo, n, shards) of the blocks that the mix takes.
 
-    Words lo .. hi - 1 of the row ``rid`` are taken ``times`` times, and its first ``part`` of them once more.
+    The first n[k] words of the row ``rid`` from its word ``lo`` on go to the output shard shards[k], for every k.
     ``docs`` has rid, doc_id, source and size.
     """
     keyed = docs.withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
@@ -117,7 +117,7 @@ def taken_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sources = saved(targets(sizes).join(sizes.select("skey", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
                     .drop("s"))
     blocks = slots(sources).groupBy("skey", "block").agg(
-        F.collect_list("words").alias("takes"))  # at most MOST + 1 takes of a block
+        F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("takes"))  # at most MOST + 1 takes of a block
     placed = _laid_out(keyed).where("size > 0").withColumn("block", F.explode(F.expr(
         f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")))
     first, end = F.greatest(F.col("start"), F.col("block") * BLOCK), F.least(
@@ -126,9 +126,9 @@ def taken_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                         (first - F.col("block") * BLOCK).alias("inside"))
     # The blocks grow with the corpus, which the planner cannot see behind the rows that make them: no broadcast.
     met = cut.join(blocks.hint("merge"), ["skey", "block"])
-    spans = met.withColumn("n", F.transform("takes", lambda w: F.least(
-        F.col("hi") - F.col("lo"), F.greatest(F.lit(0), w - F.col("inside")))))
-    return keyed, sources, spans.select("rid", "lo", "hi", "n")
+    spans = met.withColumn("n", F.transform("takes", lambda t: F.least(
+        F.col("hi") - F.col("lo"), F.greatest(F.lit(0), t["words"] - F.col("inside")))))
+    return keyed, sources, spans.select("rid", "lo", "n", F.col("takes.shard").alias("shards"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -137,17 +137,23 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken and shards of every row of ``docs`` (doc_id, text, source).
 
+    shards: (shard, taken) of the output shards that words of the row go to, by shard; their sum is taken.
     Null, empty and blank texts have size 0 and nothing is taken; a null source is a source of its own, last in order.
     Repeated rows are documents of their own; ties in the layout go by id and size, so reruns agree. An empty table
     gives no rows. No row is taken more than ``MOST`` times its size.
     """
     sized = saved(_sized(docs.select("doc_id", "text", "source")).drop("text"))
     keyed, sources, spans = taken_spans(sized)
-    taken = spans.groupBy("rid").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("taken"))
+    each = spans.select("rid", F.explode(F.arrays_zip("shards", "n")).alias("t")).where("t.n > 0")
+    dealt = each.groupBy("rid", F.col("t.shards").alias("shard")).agg(F.sum("t.n").alias("taken"))
+    taken = dealt.groupBy("rid").agg(F.sum("taken").alias("taken"),
+                                     F.sort_array(F.collect_list(F.struct("shard", "taken"))).alias("shards"))
+    none = F.array().cast(taken.schema["shards"].dataType)
     return (keyed.join(taken, "rid", "left").join(sources.select("skey", "source_size", "target"), "skey")
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
+            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+                    F.coalesce("shards", none).alias("shards")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -228,6 +228,30 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mix_deals_sources_to_shards(spark, monkeypatch):
+    """The output names the shards of a document's words, and the slots of a source fall to them as drawn, not evenly."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    found, wants = defaultdict(Counter), Counter()
+    for r in rows:
+        assert r.taken == sum(s.taken for s in r.shards) and all(s.taken > 0 for s in r.shards)
+        wants[r.source] = r.target
+        for s in r.shards:
+            found[r.source][s.shard] += s.taken
+    assert all(abs(sum(found[s].values()) - wants[s]) <= 1 for s in wants)
+    n = 1 + max(x for c in found.values() for x in c)
+    assert n > 20 and all(0 <= x < n for c in found.values() for x in c)
+    chi, free = 0.0, 0
+    for s, c in found.items():
+        slots = wants[s] / mixing.BLOCK  # nearly: a few slots are short
+        chi += sum((c[x] / mixing.BLOCK - slots / n) ** 2 for x in range(n)) / (slots / n)
+        free += n - 1
+    assert 0.85 * free < chi < 1.15 * free
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1024])
 def test_permutation_is_one_to_one(spark, size):
     got = [r[0] for r in spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit("k"))).collect()]
