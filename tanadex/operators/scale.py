@@ -23,6 +23,11 @@ def _shared_folder(spark) -> str:
     return folder
 
 
+def shared_path(spark) -> str:
+    """A new path below the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/tanadex/{uuid.uuid4().hex}"
+
+
 def saved(rows: DataFrame) -> DataFrame:
     """Write rows once as a table in the shared folder and go on from that table.
 
@@ -30,7 +35,7 @@ def saved(rows: DataFrame) -> DataFrame:
     size is known to the planner, and a lost executor loses nothing.
     """
     spark = rows.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/tanadex/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tanadex.operators import images, listing
+from tanadex.operators.scale import shared_path
 from tanadex.plans.columns import IMAGE_NAME, _image_urls
 from tanadex.plans.naming import LISTED, listed
 from tanadex.plans.registry import query
-from tanadex.sources.files import key_value_text, parse_key_value_text
+from tanadex.sources.files import read_key_value_items, write_key_value_text
 
 SHOWN = ("id", "price", "status", "category", "first_seen_dt")
 TEXTS = ("product_url", "brand_name", "model_name", "model_no", "price", "category")
@@ -51,9 +52,10 @@ def suggest_union(i):
 SELECT id, {', '.join(f"CAST({c} AS VARCHAR) AS {c}" for c in TEXTS)} FROM listing""", "listing")
 def src_kv_text(i):
     """Items written as key/value text and read back."""
-    stored = i.listing.select("id", key_value_text(TEXTS).alias("text"))
-    parsed = stored.select("id", parse_key_value_text(F.col("text")).alias("kv"))
-    return parsed.select("id", *[F.try_element_at("kv", F.lit(c)).alias(c) for c in TEXTS])
+    path = shared_path(i.listing.sparkSession)
+    write_key_value_text(i.listing.select("site", F.col("id").alias("item_id"), *TEXTS), path)
+    back = read_key_value_items(i.listing.sparkSession, path, ("item_id", *TEXTS))
+    return back.select(F.col("item_id").cast("long").alias("id"), *TEXTS)
 
 
 @query("image_keys", f"""

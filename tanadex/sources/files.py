@@ -76,15 +76,30 @@ def write_key_value_text(items: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("site").text(path))
 
 
-def parse_key_value_text(text: Column) -> Column:
-    """Map of the ``key: value`` lines of one text; the last line of a key counts."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"^\w+: "))
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.regexp_extract(x, r"^(\w+): (.*)$", 1).alias("key"), F.regexp_extract(x, r"^(\w+): (.*)$", 2).alias("value")))
+def parse_key_value_text(text: Column, keys=None) -> Column:
+    """Map of the ``key: value`` lines of one text; the last line of a key counts.
+
+    ``key:`` alone on a line starts a value of several lines, up to the next key or the end. ``keys`` names the keys
+    that there are; without it any word is one. A line of a value that looks like a key is read as one.
+    """
+    key = "|".join(keys) if keys else r"\w+"
+    one, many = rf"^({key}): ([^\r\n]*)", rf"^({key}):\r?\n([\s\S]*)$"
+    entries = F.filter(F.split(text, rf"\r?\n(?=(?:{key}):(?: |\r?\n))", -1), lambda x: x.rlike(one) | x.rlike(many))
+    pairs = F.transform(entries, lambda x: F.when(x.rlike(one), F.struct(
+        F.regexp_extract(x, one, 1).alias("key"), F.regexp_extract(x, one, 2).alias("value"))).otherwise(F.struct(
+            F.regexp_extract(x, many, 1).alias("key"), F.regexp_extract(x, many, 2).alias("value"))))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
 
+def read_key_value_items(spark: SparkSession, path: str, keys=TEXT_KEYS) -> DataFrame:
+    """One row per item that ``write_key_value_text`` stored: site, name and one string column per key."""
+    stored = spark.read.schema("value string, site string").text(path)
+    item = stored.select("site", F.from_json("value", "name string, text string").alias("item"))
+    kv = item.select("site", "item.name", parse_key_value_text(F.col("item.text"), keys).alias("kv"))
+    return kv.select("site", "name", *[F.try_element_at("kv", F.lit(k)).alias(k) for k in keys])
+
+
 def read_key_value_text(spark: SparkSession, path: str, keys=TEXT_KEYS) -> DataFrame:
     """One row per text file, one string column per key, plus the file's directory as site."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
