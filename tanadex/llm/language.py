@@ -226,7 +226,9 @@ def predictions(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang).
 
     A text's log-likelihood in a language is the sum over its words, white space apart and in lower case, of the log
-    of the sum over all segmentations into pieces of the product of their probabilities. score is the share of the
+    of the sum over all segmentations into pieces of the product of their probabilities. Outer punctuation of a word is
+    left out, and a word of more than ``STRETCH`` characters is cut into stretches, so segmentations over a cut are
+    not in the sum. score is the share of the
     best language among all, with equal priors; ties go to the first language. Null texts, texts without a letter,
     and all texts if nothing could be learnt get ``und`` and score 0. Repeated rows are judged alike; an empty table
     gives no rows.
