@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import language, lines, mixing, packing, private, quality, retrieval, simhash, substrings, tokens
+from tanadex.llm import (language, lines, mixing, negatives, packing, private, quality, retrieval, simhash, substrings,
+                         tokens)
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +111,34 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_words(table(spark, folder, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % negatives.EVERY == 0, shifted)
+
+
+CHECKS["op11_hard_negatives"] = f"""
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        CAST(list_transform(embedding, lambda x: CAST(floor({negatives.SCALE}.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS BIGINT[]) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id, a.label = c.label AS same,
+        CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.r <> c.r AND len(a.v) = len(c.v) WHERE a.vec_id % {negatives.EVERY} = 0),
+    positives AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, cr) AS k FROM pairs WHERE same) x
+      WHERE k <= {negatives.POSITIVES}),
+    windows AS (
+      SELECT p.ar, p.cr, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+        n.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY n.score DESC, n.vec_id) AS rank
+      FROM positives p JOIN pairs n ON p.ar = n.ar AND NOT n.same
+        AND {negatives.LOW} * p.score <= {negatives.HIGH} * n.score AND n.score <= p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM windows WHERE rank <= {negatives.NEGATIVES}"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
