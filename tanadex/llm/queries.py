@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import (language, lines, mixing, negatives, packing, private, quality, retrieval, simhash, substrings,
-                         tokens)
+from tanadex.llm import (language, lexicon, lines, mixing, negatives, packing, private, quality, retrieval, simhash,
+                         substrings, tokens)
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,14 @@ CHECKS["op11_hard_negatives"] = f"""
     FROM windows WHERE rank <= {negatives.NEGATIVES}"""
 
 
+@query
+def op12_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    both = lexicon.decoded(lexicon.encoded(table(spark, folder, "documents")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
