@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanadex.llm import (language, lexicon, lines, mixing, negatives, packing, private, quality, retrieval, simhash,
-                         substrings, tokens)
+from tanadex.llm import (language, lexicon, lines, mixing, negatives, packing, phrases, private, quality, retrieval,
+                         simhash, substrings, tokens)
 from tanadex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,44 @@ def op12_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+CHECKS["op13_collocations"] = f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    runs AS (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM runs),
+    grams AS (
+      SELECT lang, CAST(k AS BIGINT) AS k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM starts, (SELECT unnest(range(1, {phrases.LONGEST} + 1)) AS k) WHERE i + k - 1 <= len(w)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+    scored AS (
+      SELECT cuts.lang, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r,
+        CAST({phrases.SCALE}::HUGEINT * cuts.a // (x.a + y.a) AS BIGINT) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+        JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+    weakest AS (
+      SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    sizes AS (SELECT *, unnest(range(2, k)) AS size FROM c WHERE k > 2),
+    inner_runs AS (SELECT *, unnest(range(1, k - size + 2)) AS i FROM sizes),
+    covers AS (
+      SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM inner_runs GROUP BY ALL),
+    kept AS (
+      SELECT weakest.* FROM weakest LEFT JOIN covers USING (lang, phrase)
+      WHERE longer IS NULL OR 100::HUGEINT * longer < {phrases.COVER}::HUGEINT * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+      phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+    QUALIFY rank <= {phrases.REPORT}"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
