@@ -8,7 +8,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tanadex.llm.common import saved
 
@@ -27,6 +27,7 @@ BUCKET = 1 << 15
 # Bytes of text that are counted together.
 BATCH_BYTES = 6_000_000
 SALTS = 64
+WHOLE = "decimal(19,0)"
 COUNTED = "lang string, k int, phrase binary, h long, known boolean, n long"
 
 
@@ -221,6 +222,12 @@ def frequent_phrases(docs: DataFrame) -> DataFrame:
     return whole
 
 
+def score_of(a: Column, left: Column, right: Column) -> Column:
+    """SCALE * a / (l + r), rounded down; in decimals, since products and sums may pass 64 bits."""
+    top, bottom = F.lit(SCALE).cast("decimal(7,0)") * a.cast(WHOLE), left.cast(WHOLE) + right.cast(WHOLE)
+    return ((top - top % bottom) / bottom).cast("long")
+
+
 def collocations(docs: DataFrame) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``REPORT`` phrases of each language of ``docs`` (doc_id, lang, text).
 
@@ -242,8 +249,7 @@ def collocations(docs: DataFrame) -> DataFrame:
                        run_of(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("two"))
     left = part.select("lang", F.col("part").alias("one"), F.col("m").alias("l"))
     right = part.select("lang", F.col("part").alias("two"), F.col("m").alias("r"))
-    score = F.expr(f"cast({SCALE} as decimal(7,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
-    scored = cuts.join(left, ["lang", "one"]).join(right, ["lang", "two"]).withColumn("score", score)
+    scored = cuts.join(left, ["lang", "one"]).join(right, ["lang", "two"]).withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r")))
     weakest = scored.groupBy("lang", "phrase").agg(F.min("a").alias("a"), F.min(F.struct("score", "cut", "l", "r")).alias("cut"))
     length = F.explode(F.sequence(F.lit(2), F.col("k") - 1))
     inner = phrases.where("k > 2").select("lang", "words", "n", "k", length.alias("size"))
