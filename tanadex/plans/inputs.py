@@ -169,6 +169,24 @@ def titles(d: Dialect) -> str:
     JOIN {d.t('part')} ON p_partkey = partkey"""
 
 
+HEADING = "replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')"
+
+
+def page_dictionary(d: Dialect) -> str:
+    """Brands and models named by page headings: the first word or two a brand, the next one or two a model."""
+    words = ", ".join(f"split_part({HEADING}, ' ', {k}) AS w{k}" for k in range(1, 5))
+    return f"""
+    WITH h AS (SELECT page_id, {words} FROM {d.t('pages')}),
+         b AS (SELECT w1 AS brand, w2 AS second, MIN(page_id) AS seen FROM h WHERE w1 <> '' GROUP BY w1, w2),
+         m AS (SELECT w1 AS brand, w3 AS model, w4 AS fourth, MIN(page_id) AS seen FROM h WHERE w1 <> '' AND w3 <> '' GROUP BY w1, w3, w4)
+    SELECT 'watch' AS category, MIN(seen) AS brand_ord, brand, CAST(NULL AS BIGINT) AS model_ord, CAST(NULL AS STRING) AS model,
+           CAST(0 AS BIGINT) AS alias_ord, brand AS alias FROM b GROUP BY brand
+    UNION ALL SELECT 'watch', MIN(seen) OVER (PARTITION BY brand), brand, NULL, NULL, seen + 1, brand || ' ' || second FROM b WHERE second <> ''
+    UNION ALL SELECT 'watch', MIN(seen), brand, MIN(seen), model, CAST(0 AS BIGINT), model FROM m GROUP BY brand, model
+    UNION ALL SELECT 'watch', seen, brand, MIN(seen) OVER (PARTITION BY brand, model), model, seen + 1, model || ' ' || upper(fourth)
+    FROM m WHERE fourth <> ''"""
+
+
 def price_texts(d: Dialect) -> str:
     """Prices written in different ways."""
     n = "CAST(CAST(FLOOR(p_retailprice) AS BIGINT) AS STRING)"
@@ -180,10 +198,10 @@ def price_texts(d: Dialect) -> str:
 
 
 INPUTS = {f.__name__: f for f in (crawl_log, listing, dictionary, catalog, search_queries,
-                                  misspelt_queries, titles, price_texts)}
+                                  misspelt_queries, titles, price_texts, page_dictionary)}
 TABLES = {"crawl_log": ("events",), "listing": ("lineitem", "part"), "dictionary": ("part",),
           "catalog": ("part",), "search_queries": ("part",), "misspelt_queries": ("part",),
-          "titles": ("lineitem", "part"), "price_texts": ("part",)}
+          "titles": ("lineitem", "part"), "price_texts": ("part",), "page_dictionary": ("pages",)}
 
 
 class Inputs:

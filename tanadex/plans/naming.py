@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tanadex.functions import text
-from tanadex.operators import names, products, titles, translate
+from tanadex.operators import extract, names, products, titles, translate
 from tanadex.operators.scale import saved
+from tanadex.plans.extraction import plain
 from tanadex.plans.inputs import FULL, HALF, ID_STEP
 from tanadex.plans.registry import query
 from tanadex.sources.dictionary import AliasDictionary
+from tanadex.sources.files import read_pages
+from tanadex.sources.rules import parse_profile
 
 
 def dictionary_of(i) -> AliasDictionary:
@@ -284,7 +289,7 @@ def _take(words: str, n: str) -> str:
 
 
 TITLES = rf"""
-, c AS (SELECT id, trim(regexp_replace(split_part(split_part(replace(regexp_replace(title, '【[^】]*】', ' ', 'g'),
+c AS (SELECT id, trim(regexp_replace(split_part(split_part(replace(regexp_replace(title, '【[^】]*】', ' ', 'g'),
       '　', ' '), '腕時計', 1), '時計', 1), ' +', ' ', 'g')) AS clean FROM titles),
 w AS (SELECT id, clean, regexp_replace(clean, '( (メンズ|レディース))+$', '') AS line FROM c),
 ba AS (SELECT alias, brand, brand_ord, alias_ord, len(string_split(alias, ' ')) AS n, lower({folded('alias')}) AS f
@@ -321,7 +326,26 @@ SELECT id, clean AS clean_title, brand_name,
 FROM s4"""
 
 
-@query("split_title", TITLES, "titles", "dictionary")
+@query("split_title", ", " + TITLES, "titles", "dictionary")
 def split_title(i):
     return titles.split_titles(i.titles, dictionary_of(i)).select(
         "id", "clean_title", "brand_name", "model_name", "model_no")
+
+
+HEADINGS = {"name": "headings", "match": {"url_regex": "^https?://"}, "parse": {"fields": {
+    "title": {"pattern": r"<h1>.*?</h1>", "text": True, "transforms": [{"type": "strip"}, {"type": titles.RULE}]},
+    "link": {"pattern": r"<a\s[^>]*>.*?</a>", "attr": "href"}}}}
+
+
+@query("extract_split_title", f"""
+, dictionary AS (SELECT * FROM page_dictionary),
+titles AS (SELECT page_id AS id, trim({plain("regexp_extract(html, '(?is)<h1>.*?</h1>')")}) AS title FROM pages), {TITLES}""",
+       "page_dictionary")
+def extract_split_title(i):
+    """The title transform as a rule of a profile, over the pages: its fields become fields of the item."""
+    profiles = [parse_profile(HEADINGS)]
+    pages = read_pages(i.spark, os.path.join(i.folder, "pages.parquet"))
+    items = extract.explode_items(extract.extract_records(pages, profiles))
+    named = titles.split_title_fields(items, profiles, AliasDictionary(saved(i.page_dictionary)))
+    return extract.item_fields(named, ["title", *titles.NAME_FIELDS]).select(
+        F.col("page_id").alias("id"), F.col("title").alias("clean_title"), *titles.NAME_FIELDS)
