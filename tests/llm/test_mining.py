@@ -174,7 +174,7 @@ def phrase_rows():
     return rows + [(900 + k, "same old story here again. " * 3, "de", "a", 1) for k in range(40)]
 
 
-@pytest.mark.parametrize("share, seen, places", [(phrases.SHARE, phrases.SEEN, phrases.PLACES), (50, 2, 1 << 26), (1 << 40, 1, 1 << 26),
+@pytest.mark.parametrize("share, seen, places", [(phrases.SHARE, phrases.SEEN, phrases.PLACES), (50, 2, 1 << 27), (1 << 40, 1, 1 << 27),
                                                  (4, 3, 1 << 15)])
 def test_collocations_against_brute_force(spark, monkeypatch, share, seen, places):
     """Whatever the sample proposes, even nothing, and however full the filter: the result is the same."""

@@ -3,12 +3,15 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tanadex.functions import text
 from tanadex.operators import names, products, search, titles, translate
 from tanadex.operators.scale import saved
+from tanadex.sources import rules
 from tanadex.sources.dictionary import AliasDictionary
 
 CONFIG = {
@@ -136,6 +139,62 @@ def test_titles(spark, any_dictionary):
     assert got == {t[0]: t[1:] for t in TITLES}
 
 
+def plain_split(title, config, category="watch"):
+    """The split by scanning every alias, longest first: what the lookups must give for titles of clean words."""
+    words = re.sub(" +", " ", re.split("腕時計|ウォッチ|時計", re.sub("【[^】]*】", " ", title).replace("　", " "))[0]).strip().split(" ")
+    while words and words[-1] in titles.AUDIENCE_WORDS:
+        words.pop()
+    by_length = lambda names: sorted(names, key=lambda a: -len(a))
+    fold = lambda x: text.fold_name(x).lower()
+
+    def find(line, aliases, inner):
+        for a in by_length(aliases):
+            if line.startswith(a) or inner and f" {a} " in f" {line} ":
+                return a, len(a.split(" "))
+        for a in by_length(aliases):
+            if (fold(a) in fold(line)) if inner else fold(line).startswith(fold(a)):
+                n = len(a.split(" "))
+                return " ".join(line.split(" ")[:n]), n
+        return None, 0
+    brand, n = find(" ".join(words), [a for b, d in config.items() for a in [b, *d["aliases"]]], False)
+    brand, words = brand or words[0], words[n:]
+    own = next((d for b, d in config.items() if brand in [b, *d["aliases"]]), {"model_name": {}})
+    model, n = find(" ".join(words), [a for m, d in own["model_name"].items() for a in [m, *d["aliases"]]], True)
+    words = words[n:]
+    at = max((k for k, w in enumerate(words) if re.search(titles.MODEL_NUMBER, w)), default=None)
+    number = words.pop(at) if at is not None else None
+    return brand, model or " ".join(words) or None, number
+
+
+def test_titles_against_a_scan_of_all_aliases(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["ロレ", "ックス", "day", "TONA", "15", "b-c", "x"])
+    name = lambda n: " ".join(part() + part() for _ in range(rng.randint(1, n)))
+    config = {name(2) + str(k): {"aliases": [name(2) for _ in range(3)], "model_name": {
+        name(2): {"aliases": [name(3) for _ in range(3)]} for _ in range(5)}} for k in range(20)}
+    brands = [a for b, d in config.items() for a in [b, *d["aliases"]]]
+    models = [a for d in config.values() for m, x in d["model_name"].items() for a in [m, *x["aliases"]]]
+    lines = {" ".join([rng.choice([rng.choice(brands), rng.choice(brands).upper(), name(1)]), rng.choice(["", "【a】"]), name(1) * rng.randint(0, 1),
+                       rng.choice(models), rng.choice(["", "116500LN", "AB-1 x"]), rng.choice(["", "メンズ", "時計 z"])]) for _ in range(400)}
+    frame = spark.createDataFrame([(t,) for t in lines] * 2, "title string")
+    got = titles.split_titles(frame, AliasDictionary.from_config(spark, config)).collect()
+    assert len(got) == 2 * len(lines)
+    for r in got:
+        assert (r.brand_name, r.model_name, r.model_no) == plain_split(r.title, config), r.title
+
+
+def test_title_rule_of_a_profile(spark, any_dictionary):
+    profile = rules.parse_profile({"name": "p", "parse": {"fields": {
+        "heading": {"pattern": "<p>.*?</p>", "text": True, "transforms": [{"type": "strip"}, {"type": titles.RULE}]}}}})
+    other = rules.parse_profile({"name": "q", "parse": {"fields": {"heading": {"pattern": "<p>.*?</p>"}}}})
+    items = spark.createDataFrame([(1, "p", {"heading": "【x】ROLEX  デイトナ 116500", "model_no": "old", "price": "5"}),
+                                   (2, "p", {"price": "5"}), (3, "q", {"heading": "ROLEX"}), (4, "p", {"heading": "メンズ"}),
+                                   (5, None, None)], "id long, profile string, item map<string,string>")
+    got = {r.id: r.item for r in titles.split_title_fields(items, [profile, other], any_dictionary).collect()}
+    assert got[1] == {"heading": "ROLEX デイトナ 116500", "brand_name": "ROLEX", "model_name": "デイトナ", "model_no": "116500", "price": "5"}
+    assert got[2] == {"price": "5"} and got[3] == {"heading": "ROLEX"} and got[4] == {"heading": "メンズ"} and got[5] is None
+
+
 # ---- search -------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
