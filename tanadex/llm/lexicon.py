@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tanadex.llm.common import saved
@@ -21,8 +22,10 @@ FREQUENT = 1 << 16
 LEAST = 4
 # Bins of word counts for each doubling.
 BINS = 8
-# Characters encoded together, and length from which a text is looked through for safe cuts.
-BATCH_CHARS = 2_000_000
+# Characters (or bytes) encoded together, and length from which a text is looked through for safe cuts.
+BATCH_CHARS = 1_000_000
+# Ids decoded together.
+BATCH_IDS = 250_000
 # Fixed value: the pattern that parts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -295,6 +298,16 @@ def lexicon_of(texts: DataFrame, path: str, size: int = FREQUENT) -> bytes:
     return compiled([(w, tuple(flat[b - a:b])) for w, a, b in zip(words, n.tolist(), ends)])
 
 
+def slices(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in order, so many together that their sizes pass ``limit`` by no more than one row."""
+    before = np.cumsum(np.append(0, sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + limit)))
+        yield batch.slice(at, min(end, len(batch)) - at)
+        at = end
+
+
 def _path(path: str | None) -> str:
     import public_tokenizers
     return path or public_tokenizers.path(MODEL)
@@ -316,16 +329,10 @@ def encoded(docs: DataFrame, path: str | None = None, size: int = FREQUENT) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_path(path), lexicon.value)
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and chars < BATCH_CHARS:
-                    chars += len(texts[end])
-                    end += 1
-                n, ids = encoder.encode(texts[at:end])
+            for part in slices(batch, pc.binary_length(batch.column(1)), BATCH_CHARS):
+                n, ids = encoder.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists], ["doc_id", "ids"])
-                at = end
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -340,16 +347,16 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
         length = np.array([*map(len, spelled), 0], np.int64)
         start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(spelled), np.uint8)
         for batch in batches:
-            lists = batch.column(1)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            if lists.values.null_count:
-                ids = np.nan_to_num(ids, nan=-1).astype(np.int64)
-            ids = np.where((ids < 0) | (ids >= len(spelled)), len(spelled), ids)
-            ends = np.concatenate([[0], np.cumsum(length[ids])])
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            whole = gathered(flat, start[ids], length[ids]).tobytes()
-            cuts = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
-            texts = [whole[a:b].decode("utf-8", "replace") if valid else None
-                     for a, b, valid in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for part in slices(batch, pc.list_value_length(batch.column(1)), BATCH_IDS):
+                lists = part.column(1)
+                ids = lists.flatten()
+                ids = (ids.fill_null(-1) if ids.null_count else ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = np.where((ids < 0) | (ids >= len(spelled)), len(spelled), ids)
+                ends = np.concatenate([[0], np.cumsum(length[ids])])
+                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                whole = gathered(flat, start[ids], length[ids]).tobytes()
+                cuts = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
+                texts = [whole[a:b].decode("utf-8", "replace") if valid else None
+                         for a, b, valid in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
