@@ -144,6 +144,20 @@ def search_queries(d: Dialect) -> str:
       UNION SELECT '*' FROM {d.t('part')}) q"""
 
 
+def suggest_prefixes(d: Dialect) -> str:
+    """Beginnings of model names, brands and numbers in several spellings, and prefixes that nothing begins with."""
+    return f"""
+    SELECT DISTINCT prefix FROM (
+      SELECT substring(p_name, 1, 3) AS prefix FROM {d.t('part')}
+      UNION ALL SELECT upper(substring(p_name, 1, 1)) || substring(p_name, 2, 4) || ' ' FROM {d.t('part')}
+      UNION ALL SELECT split_part(p_name, ' ', 1) || ' ' || substring(split_part(p_name, ' ', 2), 1, 1) FROM {d.t('part')}
+      UNION ALL SELECT lower(substring(p_brand, 1, 7)) FROM {d.t('part')}
+      UNION ALL SELECT 'P' || substring(CAST(p_partkey AS STRING), 1, 2) FROM {d.t('part')}
+      UNION ALL SELECT 'p' || substring(CAST(p_partkey AS STRING), 1, 1) FROM {d.t('part')}
+      UNION ALL SELECT '品牌' || substring(p_brand, 7, 1) FROM {d.t('part')}
+      UNION ALL SELECT 'ブ' UNION ALL SELECT '#' UNION ALL SELECT ' ' UNION ALL SELECT '型号none') q"""
+
+
 def misspelt_queries(d: Dialect) -> str:
     """Model names with an exchanged pair, a missing or a doubled letter."""
     return f"""
@@ -198,10 +212,10 @@ def price_texts(d: Dialect) -> str:
 
 
 INPUTS = {f.__name__: f for f in (crawl_log, listing, dictionary, catalog, search_queries,
-                                  misspelt_queries, titles, price_texts, page_dictionary)}
+                                  misspelt_queries, titles, price_texts, page_dictionary, suggest_prefixes)}
 TABLES = {"crawl_log": ("events",), "listing": ("lineitem", "part"), "dictionary": ("part",),
           "catalog": ("part",), "search_queries": ("part",), "misspelt_queries": ("part",),
-          "titles": ("lineitem", "part"), "price_texts": ("part",), "page_dictionary": ("pages",)}
+          "titles": ("lineitem", "part"), "price_texts": ("part",), "page_dictionary": ("pages",), "suggest_prefixes": ("part",)}
 
 
 class Inputs:

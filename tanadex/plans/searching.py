@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tanadex.functions import text
 from tanadex.model import MAX_PAGE_SIZE
-from tanadex.operators import search
+from tanadex.operators import prefixes, search
 from tanadex.operators.scale import saved
 from tanadex.plans.naming import canon, dictionary_of
 from tanadex.plans.registry import query
@@ -316,3 +316,29 @@ SELECT term, CAST(row_number() OVER (ORDER BY first) AS INT) AS place FROM f ORD
        "catalog", "dictionary")
 def suggest(i):
     return search.suggest(_docs(i), "Cold w")
+
+
+def _points(line: str) -> str:
+    return f"CAST(contains({line}, asked) AS INT)"
+
+
+@query("suggest_batch", DOCS + f"""
+, lines AS (SELECT *, ' ' || array_to_string({_toks('brand_name')}, ' ') AS l1, ' ' || array_to_string({_toks('model_name')}, ' ') AS l2,
+    ' ' || array_to_string({_toks('search_text')}, ' ') AS l3,
+    [' ' || array_to_string({_toks('a')}, ' ') FOR a IN brand_aliases] AS l4,
+    [' ' || array_to_string({_toks('a')}, ' ') FOR a IN model_aliases] AS l5 FROM docs),
+q AS (SELECT prefix, trim(prefix) AS p, ' ' || array_to_string({_toks('prefix')}, ' ') AS asked FROM suggest_prefixes
+      WHERE trim(prefix) <> ''),
+m AS (SELECT q.*, id, terms, CASE WHEN asked = ' ' THEN 0 ELSE {_points('l1')} + {_points('l2')} + {_points('l3')}
+      + CAST(len([a FOR a IN l4 IF contains(a, asked)]) > 0 AS INT) + CAST(len([a FOR a IN l5 IF contains(a, asked)]) > 0 AS INT) END
+      + CAST(starts_with(model_no, p) AS INT) AS score FROM q, lines),
+t AS (SELECT prefix, p, score, id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM m WHERE score > 0),
+f AS (SELECT prefix, term, min((-score, id, pos)) AS first FROM t WHERE starts_with(lower(term), lower(p)) GROUP BY prefix, term)
+SELECT prefix, CAST(place AS INT) AS place, term FROM (
+  SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY first) AS place FROM f) x WHERE place <= 5""",
+       "catalog", "dictionary", "suggest_prefixes")
+def suggest_batch(i):
+    """Answers for a table of prefixes from an index of two parts, by status, that were indexed apart and merged."""
+    docs = _docs(i)
+    parts = [prefixes.stored_index(docs.where(fit)) for fit in (F.col("status") == "active", F.col("status") != "active")]
+    return prefixes.suggest_batch(saved(prefixes.merge_indexes(parts)), i.suggest_prefixes)

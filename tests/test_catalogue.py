@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tanadex.functions import text
-from tanadex.operators import names, products, search, titles, translate
+from tanadex.operators import names, prefixes, products, search, titles, translate
 from tanadex.operators.scale import saved
 from tanadex.sources import rules
 from tanadex.sources.dictionary import AliasDictionary
@@ -269,6 +269,23 @@ def test_suggestions(docs):
     assert len(terms("r", 2)) == 2
 
 
+def test_suggestions_from_an_index(spark, docs):
+    """Every beginning of every term in three spellings, whole index and merged parts, as document scans answer them."""
+    terms = {t for r in docs.collect() for t in [r.brand_name, r.model_name, r.model_no, *r.brand_aliases, *r.model_aliases] if t}
+    asked = sorted({f(t[:n]) for t in terms for n in (1, 2, 5, len(t)) for f in (str, str.upper, str.lower)} | {"", "  ", " ro ", "zz", "#"})
+    table = spark.createDataFrame([(a,) for a in asked] + [("ro",)] * 3, "prefix string")
+    whole = saved(prefixes.prefix_index(docs, 3))
+    parts = saved(prefixes.merge_indexes([prefixes.prefix_index(docs.where(F.col("id") % 3 == k), 3) for k in range(3)], 3))
+    answers = [{}, {}]
+    for found, index in zip(answers, (whole, parts)):
+        for r in prefixes.suggest_batch(index, table, 3).orderBy("prefix", "place").collect():
+            found.setdefault(r.prefix, []).append(r.term)
+    assert answers[0] == answers[1]
+    for a in asked[::7]:
+        assert answers[0].get(a, []) == [r.term for r in search.suggest(docs, a, 3).collect()], a
+    assert prefixes.suggest_batch(whole, table.limit(0)).count() == prefixes.prefix_index(docs.limit(0)).count() == 0
+
+
 def test_index_upkeep(spark, items, docs, dictionary):
     ids = search.affected_items(items, spark.createDataFrame([("Rolex",)], "brand_name string"))
     assert [r.id for r in ids.collect()] == [8]  # stored spelling only
