@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tanadex.operators import changes, listing
+from tanadex.operators import absence, changes, listing
 from tanadex.operators.scale import saved
 from tanadex.plans.registry import query
 
@@ -187,3 +187,20 @@ SELECT log_id, site, category, item_id, 'blank site, category or item_id' AS err
 FROM crawl_log WHERE status = 'success' AND trim(category) = ''""", "crawl_log")
 def sync_rejects(i):
     return changes.rejected_log(changes.pending_log(i.crawl_log, -1))
+
+
+GAPS = """
+days_seen AS (SELECT DISTINCT uid AS source_uid, dt FROM ok WHERE dt IS NOT NULL),
+gaps AS (SELECT *, lead(dt) OVER (PARTITION BY source_uid ORDER BY dt) AS back_dt,
+           (SELECT max(dt) FROM days_seen) AS as_of FROM days_seen),
+each AS (SELECT *, unnest([0, 1, 7]) AS days FROM gaps)
+"""
+
+
+@query("item_absence", with_(FOLD, GAPS) + """
+SELECT CAST(days AS INT) AS days, source_uid, dt AS last_seen_dt, CAST(dt + CAST(days + 1 AS INT) AS DATE) AS gone_dt, back_dt,
+  CAST(coalesce(back_dt, as_of) - CAST(dt + CAST(days + 1 AS INT) AS DATE) AS INT) AS n_days
+FROM each WHERE dt + CAST(days + 1 AS INT) <= coalesce(back_dt, as_of)""", "crawl_log")
+def item_absence(i):
+    """Every time an item was not seen for more than 0, 1 and 7 days."""
+    return absence.absences(absence.observation_days(_valid(i)), [0, 1, 7])
