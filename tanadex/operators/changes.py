@@ -208,10 +208,10 @@ def last_seen(valid: DataFrame) -> DataFrame:
 
 
 def current_items(valid: DataFrame, snapshot: DataFrame | None = None,
-                  null_price: str = "absorb", skew: Skew = Skew()) -> DataFrame:
+                  null_price: str = "absorb", skew: Skew = Skew(), top_id: int | None = None) -> DataFrame:
     """The item table after applying the log to the last snapshot.
 
-    Wide columns are reduced to one row per item before they are shuffled; only key,
+    New items are numbered after ``top_id``, or after the largest id of the snapshot. Wide columns are reduced to one row per item before they are shuffled; only key,
     log id and price take part in the ordered comparison.
     """
     names = ("site", "category", "item_id", *FIRST_SEEN)
@@ -232,7 +232,7 @@ def current_items(valid: DataFrame, snapshot: DataFrame | None = None,
     fresh_price = F.when(absorbed, F.lit(None)).otherwise(F.col("last_price"))
     if snapshot is None:
         return merged.select(
-            F.col("new_no").alias("id"), "source_uid", *[F.col(f"f.{c}").alias(c) for c in names],
+            (F.col("new_no") + (top_id or 0)).alias("id"), "source_uid", *[F.col(f"f.{c}").alias(c) for c in names],
             fresh_price.cast("bigint").alias("price"), F.col("l.product_url").alias("product_url"),
             F.lit(DEFAULT_STATUS).alias("status"), F.lit(None).cast("bigint").alias("product_id"),
             F.col("f.dt").alias("first_seen_dt"), F.col("l.dt").alias("last_seen_dt"),
@@ -255,9 +255,9 @@ def current_items(valid: DataFrame, snapshot: DataFrame | None = None,
         next_price = F.coalesce(next_price, old_price)
     else:
         next_price = F.when(known & old_price.isNull(), F.lit(None)).otherwise(next_price)
-    top_id = snapshot.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_id")).scalar()
+    top = snapshot.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_id")).scalar() if top_id is None else F.lit(top_id)
     return both.select(
-        F.coalesce(F.col("s.id"), F.col("new_no") + top_id).alias("id"), "source_uid", *kept,
+        F.coalesce(F.col("s.id"), F.col("new_no") + top).alias("id"), "source_uid", *kept,
         next_price.cast("bigint").alias("price"),
         F.when(seen_now, F.col("l.product_url")).otherwise(F.col("s.product_url")).alias("product_url"),
         F.coalesce("s.status", F.lit(DEFAULT_STATUS)).alias("status"),

@@ -8,76 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tanadex.model import LOG_SCHEMA
 from tanadex.operators import changes
 from tanadex.operators.extract import extract_records, explode_items, log_rows
-from tanadex.sources.files import PAGE_SCHEMA
-
-
-class ItemStore:
-    """Versioned item snapshots, history and cursor below one folder.
-
-    Layout: ``items/v=N``, ``history/batch=N``, ``state/v=N``. A version becomes
-    visible when its state is written, which happens last; a batch that is repeated
-    overwrites its own folders and yields the same rows.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def missing_tables(self) -> list[str]:
-        """Names of the store's tables that hold nothing yet."""
-        version = self.version()
-        return ["items", "history", "state"] if version is None else []
-
-    def version(self, before: int | None = None) -> int | None:
-        """The newest complete version, or the newest one below ``before``."""
-        try:
-            states = self.spark.read.parquet(f"{self.path}/state")
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
-                return None
-            raise
-        if before is not None:
-            states = states.where(F.col("v") < before)
-        return states.agg(F.max("v")).first()[0]
-
-    def cursor(self, version: int | None) -> int:
-        """Last log id read; 0 when there is none or it is not a number."""
-        if version is None:
-            return 0
-        value = (self.spark.read.parquet(f"{self.path}/state/v={version}")
-                 .where("key = 'last_log_id'").select(F.expr("try_cast(value as bigint)")).first())
-        return value[0] or 0 if value else 0
-
-    def items(self, version: int | None = None) -> DataFrame | None:
-        version = self.version() if version is None else version
-        return None if version is None else self.spark.read.parquet(f"{self.path}/items/v={version}")
-
-    def history(self) -> DataFrame:
-        """All history rows; one per event key."""
-        rows = self.spark.read.parquet(f"{self.path}/history")
-        return rows.where(F.col("batch") <= self.version()).drop("batch")
-
-    def apply(self, log: DataFrame, batch: int, skew: changes.Skew = changes.Skew(),
-              after_cursor: bool = False) -> None:
-        """Fold one batch of log rows into a new version."""
-        previous = self.version(before=batch)
-        snapshot = None if previous is None else self.items(previous)
-        start = self.cursor(previous)
-        pending = changes.pending_log(log, start if after_cursor else -1)
-        valid = changes.valid_log(pending)
-        known = None
-        if previous is not None:  # keys hold the log id, so only rows of these ids can repeat
-            oldest = pending.agg(F.min("log_id")).scalar()
-            known = (self.spark.read.parquet(f"{self.path}/history")
-                     .where((F.col("batch") <= previous) & (F.col("log_id") >= oldest)))
-        history = changes.new_history(
-            changes.price_history(changes.price_changes(valid, snapshot, skew=skew)), known)
-        history.write.mode("overwrite").parquet(f"{self.path}/history/batch={batch}")
-        (changes.current_items(valid, snapshot, skew=skew)
-         .write.mode("overwrite").parquet(f"{self.path}/items/v={batch}"))
-        (changes.next_cursor(pending, start)
-         .select(F.lit("last_log_id").alias("key"),
-                 F.greatest("cursor", F.lit(start)).cast("string").alias("value"))
-         .write.mode("overwrite").parquet(f"{self.path}/state/v={batch}"))
+from tanadex.streaming.store import ItemStore
 
 
 def stream_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -129,5 +60,3 @@ def _last_log_id(spark: SparkSession, path: str, batch: int) -> int:
     rows = spark.read.parquet(path).where(F.col("batch") < batch)
     return rows.agg(F.max("log_id")).first()[0] or 0
 
-
-__all__ = ["ItemStore", "PAGE_SCHEMA", "extract_to_log", "stream_log", "sync_items", "sync_once"]

@@ -170,6 +170,38 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert again.items().count() == len(items)
 
 
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    """Files are counted: a batch of one item writes one bucket, a repeated batch changes no row, old buckets go."""
+    log = spark.createDataFrame(random_rows(5, 120), SCHEMA)
+    log = log.select(*[F.col(f.name) if f.name in log.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in sync.LOG_SCHEMA])
+    store = sync.ItemStore(spark, str(tmp_path / "s"), buckets=8)
+    folder = lambda v: {d for d in os.listdir(tmp_path / "s" / "items" / f"v={v}") if d.startswith("bucket=")}
+    rows = lambda df: sorted(map(str, df.collect()))
+    store.apply(log.where("log_id <= 60"), 0, TINY)
+    first = store.items().orderBy("source_uid").first()
+    one = log.where((F.col("log_id") > 60) & (F.concat_ws(":", F.trim("site"), F.trim("category"), F.trim("item_id")) == first.source_uid))
+    assert one.count() and len(folder(0)) > 1
+    store.apply(one, 1, TINY)
+    assert len(folder(1)) == 1 and not store.missing_tables()
+    before = rows(store.items()), rows(store.history())
+    store.apply(one, 1, TINY)
+    assert (rows(store.items()), rows(store.history())) == before and len(folder(1)) == 1
+    other = log.where(F.col("log_id") > 60).join(one.select("log_id"), "log_id", "left_anti")
+    store.apply(other.where("log_id <= 90"), 2, TINY)
+    store.apply(other.where("log_id > 90"), 3, TINY)
+    store.apply(log.limit(0), 4, TINY)
+    kept = set(os.listdir(tmp_path / "s" / "state")) - {"_SUCCESS"}
+    assert {k for k in kept if k.startswith("v=")} == {"v=3", "v=4"}
+    used = {v.split(":")[0] for v in store._buckets(store._state(3)).values()} | set(store._buckets(store._state(4)).values())
+    on_disk = {str(tmp_path / "s" / "items" / v / b) for v in os.listdir(tmp_path / "s" / "items") for b in
+               os.listdir(tmp_path / "s" / "items" / v) if b.startswith("bucket=")}
+    assert on_disk == used
+    ids = [r.id for r in store.items().select("id").collect()]
+    assert len(set(ids)) == len(ids) == changes.current_items(changes.valid_log(changes.pending_log(log, -1))).count()
+    assert store.stats().agg(F.sum("total"), F.sum("failed")).first() == (
+        changes.pending_log(log, -1).count(), store.rejects().count())
+
+
 def test_page_stream(spark, tmp_path):
     os.makedirs(tmp_path / "rules")
     profiles = load(tmp_path / "rules")
