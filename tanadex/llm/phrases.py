@@ -19,16 +19,17 @@ SCALE = 2_000_000
 REPORT = 2000
 NO_LANG = "und"
 # One document in SHARE belongs to the sample, by a hash of its id; a phrase is proposed from SEEN occurrences there.
-SHARE = 4
-SEEN = 3
-# Places of the filter of proposed phrases: 2^26 bits are 8 MB, whatever the corpus.
-PLACES = 1 << 26
+SHARE = 8
+SEEN = 2
+# Places of the filter of proposed phrases: 2^27 bits are 16 MB, whatever the corpus.
+PLACES = 1 << 27
 BUCKET = 1 << 15
-# Bytes of text that are counted together.
-BATCH_BYTES = 6_000_000
+# Bytes of text that are counted together, and rows that leave a task together.
+BATCH_BYTES = 2_000_000
+BATCH_ROWS = 50_000
 SALTS = 64
 WHOLE = "decimal(19,0)"
-COUNTED = "lang string, k int, phrase binary, h long, known boolean, n long"
+COUNTED = "h long, name binary, n long"
 
 
 def _bytes_table() -> bytes:
@@ -80,6 +81,7 @@ class Grams:
         # Each phrase by its part without the last word, its part without the first, and its last word.
         self.first, self.after, self.last = first, after, last
         self.at, self.h, self.n = at, h, n
+        self.passes = np.ones(len(h), bool)
 
 
 def batch_words(texts: list[tuple[str, bytes]]) -> tuple[list[tuple[str, bytes]], np.ndarray]:
@@ -106,9 +108,9 @@ def batch_words(texts: list[tuple[str, bytes]]) -> tuple[list[tuple[str, bytes]]
     return placed, np.array(flat, np.int64)
 
 
-def batch_grams(words: list[tuple[str, bytes]], flat: np.ndarray, may, longest: int) -> Iterator[tuple[int, Grams]]:
+def batch_grams(words: list[tuple[str, bytes]], flat: np.ndarray, longest: int) -> Iterator[tuple[int, Grams]]:
     """Distinct phrases of a batch by length: every word, then every phrase whose parts without the first and the last
-    word were phrases that ``may`` lets pass by their hashes."""
+    word have been left with ``passes`` by the caller."""
     import xxhash
     seeds: dict[str, int] = {}
     h = np.zeros(len(words), np.uint64)
@@ -121,7 +123,7 @@ def batch_grams(words: list[tuple[str, bytes]], flat: np.ndarray, may, longest:
     grams, single = Grams(np.where(flat > 0, flat, -1), own, own, own, h, n), h
     yield 1, grams
     for k in range(2, longest + 1):
-        before, fit = grams, may(grams.h)
+        before, fit = grams, grams.passes
         begin = np.flatnonzero((before.at[:-1] >= 0) & (before.at[1:] >= 0))
         begin = begin[fit[before.at[begin]] & fit[before.at[begin + 1]]]
         key, inverse, n = np.unique(before.at[begin] * np.int64(len(before.h)) + before.at[begin + 1],
@@ -149,77 +151,122 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, byte
         yield texts
 
 
+def _rows(h: np.ndarray, names: list[bytes] | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(n), BATCH_ROWS):
+        part = slice(at, at + BATCH_ROWS)
+        name = pa.nulls(len(n[part]), pa.binary()) if names is None else pa.array(names[part], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), name, pa.array(n[part], pa.int64())], ["h", "name", "n"])
+
+
+class Spelling:
+    """The phrases of a batch by growing length, and the texts of those of the current length."""
+
+    def __init__(self, words: list[tuple[str, bytes]], flat: np.ndarray):
+        self.words, self.flat = words, flat
+        self.lang, langs = pd.factorize(np.array([x for x, _ in words], object))
+        self.ends = [b"\n" + x.encode() for x in langs]
+        self.levels: list[Grams] = []
+
+    def totals(self) -> Iterator[pa.RecordBatch]:
+        """Words of each language, under an empty phrase."""
+        n = np.bincount(self.lang[self.flat[self.flat > 0]], minlength=len(self.ends)).astype(np.int64)
+        some = np.flatnonzero(n)
+        return _rows(np.zeros(len(some), np.uint64), [self.ends[i] for i in some], n[some])
+
+    def grams(self) -> Iterator[tuple[int, Grams]]:
+        for k, grams in batch_grams(self.words, self.flat, LONGEST):
+            self.levels.append(grams)
+            yield k, grams
+
+    def names(self, pick: np.ndarray) -> list[bytes]:
+        """Each picked phrase with its language: its last word, that of its part without it, back to the first one."""
+        spelled, at = [], pick
+        for grams in self.levels[::-1]:
+            spelled.append([self.words[i][1] for i in grams.last[at].tolist()])
+            start, at = at, grams.first[at]
+        ends = [self.ends[i] for i in self.lang[start].tolist()]
+        return [b" ".join(parts) + end for parts, end in zip(zip(*spelled[::-1]), ends)]
+
+
 def sample_hashes(docs: DataFrame) -> DataFrame:
-    """(h) of the phrases of up to ``LONGEST`` - 1 words that the sample holds ``SEEN`` times or more."""
+    """(h) of the phrases of up to ``LONGEST`` words that the sample holds ``SEEN`` times or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _batches(batches):
-            for _, grams in batch_grams(*batch_words(texts), lambda h: np.ones(len(h), bool), LONGEST - 1):
-                some = grams.n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(grams.h[some].view(np.int64)), pa.array(grams.n[some], pa.int64())], ["h", "n"])
+            for _, grams in batch_grams(*batch_words(texts), LONGEST):
+                yield from _rows(grams.h[grams.n > 0], None, grams.n[grams.n > 0])
     part = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text")), F.lit(SHARE)) == 0)
-    counts = part.select("lang", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = part.select("lang", "text").mapInArrow(run, COUNTED).groupBy("h").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= SEEN).select("h")
 
 
-def counted(docs: DataFrame, old: np.ndarray | None, new: np.ndarray) -> DataFrame:
-    """(lang, k, phrase, h, known, n): exact counts, over all documents, of the phrases of the filter ``new`` and of
-    its negative border, that is, of every phrase whose parts without the first and the last word are in the filter.
+def _shared(docs: DataFrame, *bits: np.ndarray):
+    return docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in bits])
+
+
+def counted(docs: DataFrame, proposed: np.ndarray) -> DataFrame:
+    """(h, name, n): counts, over all documents, of the proposed phrases and of their negative border, that is, of every
+    other phrase whose parts without the first and the last word are proposed.
 
-    A pass after the first leaves out what passes before it counted: phrases whose two parts were in ``old`` already.
-    ``known`` says whether the phrase itself is in ``new``. The row with k = 0 has all words of a language.
+    Proposed phrases are counted by their text: ``name`` is the phrase, a line end and the language. Those of the
+    border, most of them rare, are counted by hash, with a null name. The words of each language stand under an empty
+    phrase.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((None if old is None else old.tobytes(), new.tobytes()))
+    shared = _shared(docs, proposed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        [held] = [Filter(np.frombuffer(b, np.uint8)) for b in shared.value]
+        for texts in _batches(batches):
+            spelling = Spelling(*batch_words(texts))
+            yield from spelling.totals()
+            for _, grams in spelling.grams():
+                grams.passes = held.holds(grams.h)
+                pick = np.flatnonzero(grams.passes & (grams.n > 0))
+                yield from _rows(grams.h[pick], spelling.names(pick), grams.n[pick])
+                pick = np.flatnonzero(~grams.passes & (grams.n > 0))
+                yield from _rows(grams.h[pick], None, grams.n[pick])
+    return docs.select("lang", "text").mapInArrow(run, COUNTED).groupBy("h", "name").agg(F.sum("n").alias("n"))
+
+
+def expanded(docs: DataFrame, proposed: np.ndarray, failures: np.ndarray) -> DataFrame:
+    """(h, name, n): counts by text, over all documents, of the failures of the border and of every phrase around one:
+    each of its parts without the first and the last word is proposed or holds a failure itself."""
+    shared = _shared(docs, proposed, failures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = (b if b is None else Filter(np.frombuffer(b, np.uint8)) for b in shared.value)
+        held, failed = (Filter(np.frombuffer(b, np.uint8)) for b in shared.value)
         for texts in _batches(batches):
-            words, flat = batch_words(texts)
-            names, (lang, langs) = [w for _, w in words], pd.factorize(np.array([x for x, _ in words], object))
-            for k, grams in batch_grams(words, flat, now.holds, LONGEST):
-                if k == 1:
-                    done = np.full(len(words), before is not None)
-                    total = np.bincount(lang, grams.n, len(langs)).astype(np.int64)
-                    some = np.flatnonzero(total) if before is None else np.zeros(0, np.int64)
-                    yield _rows(langs[some], 0, [b""] * len(some), np.zeros(len(some), np.uint64), np.ones(len(some), bool), total[some])
-                else:
-                    names = [names[a] + b" " + words[b][1] for a, b in zip(grams.first.tolist(), grams.last.tolist())]
-                    lang, done = lang[grams.first], done[grams.first] & done[grams.after]
-                pick = np.flatnonzero(~done & (grams.n > 0))
-                yield _rows(langs[lang[pick]], k, [names[i] for i in pick.tolist()], grams.h[pick],
-                            now.holds(grams.h[pick]), grams.n[pick])
-                # A phrase that an earlier pass counted opened further ones there only if it was in its filter.
-                done = done & before.holds(grams.h) if before is not None else done
-    rows = docs.select("lang", "text").mapInArrow(run, COUNTED)
-    return rows.groupBy("lang", "k", "phrase").agg(F.min("h").alias("h"), F.min("known").alias("known"), F.sum("n").alias("n"))
-
-
-def _rows(langs: np.ndarray, k: int, phrases: list[bytes], h: np.ndarray, known: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(phrases, pa.binary()),
-         pa.array(h.view(np.int64)), pa.array(known), pa.array(n, pa.int64())], ["lang", "k", "phrase", "h", "known", "n"])
+            spelling, around = Spelling(*batch_words(texts)), None
+            for k, grams in spelling.grams():
+                own = failed.holds(grams.h)
+                around = own if k == 1 else own | around[grams.first] | around[grams.after]
+                grams.passes = held.holds(grams.h) | around
+                pick = np.flatnonzero(around & (grams.n > 0))
+                yield from _rows(grams.h[pick], spelling.names(pick), grams.n[pick])
+    return docs.select("lang", "text").mapInArrow(run, COUNTED).groupBy("h", "name").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of up to ``LONGEST`` words with ``LEAST`` occurrences or more, exactly
     counted over ``docs`` (doc_id, lang, text), and of each language with k = 0 the number of its words.
 
-    A frequent phrase of the border that the filter does not know is a failure of the sample: it joins the filter, and
-    a further pass counts what has come into reach. A pass that finds no such phrase closes the search; there are at
-    most ``LONGEST`` passes, since each one settles one more length.
+    A frequent phrase of the border is a failure of the sample. A frequent phrase that was not counted by its text has
+    a least part that was not proposed; all parts of that one were, so it lies in the border and is a failure. One
+    expansion pass over all phrases around failures therefore closes the search. Phrases whose hashes collide can make
+    a failure of rare ones; their texts are counted apart, so the result is exact.
     """
-    old, new, parts = None, bits_of(sample_hashes(docs)), []
-    while True:
-        found = saved(counted(docs, old, new).where((F.col("n") >= LEAST) | (F.col("k") == 0)))
-        parts.append(found.drop("h", "known"))
-        failures = found.where((F.col("k") > 0) & (F.col("k") < LONGEST) & ~F.col("known"))
-        if failures.isEmpty():
-            break
-        old, new = new, new | bits_of(failures)
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.union(more)
-    return whole
+    proposed = bits_of(sample_hashes(docs))
+    found = saved(counted(docs, proposed).where((F.col("n") >= LEAST) | (F.substring("name", 1, 1) == F.lit(b"\n"))))
+    whole, failures = found.where(F.col("name").isNotNull()), found.where(F.col("name").isNull())
+    if not failures.isEmpty():
+        more = expanded(docs, proposed, bits_of(failures)).where(F.col("n") >= LEAST)
+        # The filter of failures may hold phrases that the first pass has counted by text as well.
+        whole = whole.unionByName(more).dropDuplicates(["h", "name"])
+    name = F.col("name").cast("string")
+    at = F.instr(name, "\n")
+    rows = whole.select(F.substring(name, at + 1, F.length(name)).alias("lang"),
+                        F.substring(name, F.lit(1), at - 1).alias("phrase"), "n")
+    words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+    return rows.select("lang", "phrase", "n", words.alias("words"), F.size(words).alias("k"))
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
@@ -237,12 +284,12 @@ def collocations(docs: DataFrame) -> DataFrame:
     and texts of any length are taken whole; an empty table gives no rows. Further columns are not looked at.
     """
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = saved(frequent_phrases(texts).withColumn("words", F.split(F.col("phrase").cast("string"), " ")))
+    counts = saved(frequent_phrases(texts))
     part = counts.where("k > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("m"))
     phrases = counts.where("k > 1")
 
     def run_of(start, length):
-        return F.array_join(F.slice("words", start, length), " ").cast("binary")
+        return F.array_join(F.slice("words", start, length), " ")
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1))
     cuts = phrases.select("lang", "phrase", "words", F.col("n").alias("a"), "k", cut.alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", run_of(F.lit(1), F.col("cut")).alias("one"),
@@ -267,5 +314,5 @@ def collocations(docs: DataFrame) -> DataFrame:
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= REPORT)
     totals = counts.where("k = 0").select("lang", "n")
     return ranked.join(totals, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), F.col("phrase").cast("string").alias("phrase"), "a",
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a",
         F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", "score")
