@@ -7,12 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tanadex.functions.text import lower_key, strip, term_counts, tokens
+from tanadex.functions.text import lower_key, match_key, strip, term_counts, tokens
 from tanadex.model import search_arguments
 from tanadex.operators.names import (brand_alias_lists, canonical_brand, canonical_model,
                                      model_alias_lists)
 from tanadex.operators.scale import saved
-from tanadex.sources.dictionary import AliasDictionary
+from tanadex.sources.dictionary import TIERS, AliasDictionary
 
 # Fields searched and their weights; model_no counts as one whole term.
 BOOSTS = {
@@ -103,6 +103,62 @@ def affected_items(items: DataFrame, brands: DataFrame | None = None, models: Da
     return reduce(DataFrame.unionByName, [p.select("id") for p in parts]).distinct()
 
 
+def _alias_view(names: DataFrame, dictionary: AliasDictionary) -> DataFrame:
+    """``names`` (category, brand_name, model_name) with all that a document takes from the dictionary, as ``view``."""
+    named = canonical_model(canonical_brand(names, dictionary), dictionary)
+    lists = (named.join(brand_alias_lists(dictionary).withColumnsRenamed({"brand": "brand_std", "brand_aliases": "b_list"}),
+                        ["category", "brand_std"], "left")
+             .join(model_alias_lists(dictionary).withColumnsRenamed({"brand": "brand_std", "model": "model_std", "model_aliases": "m_list"}),
+                   ["category", "brand_std", "model_std"], "left"))
+    return lists.select(*names.columns, F.struct("brand_std", "model_std", "b_list", "m_list").alias("view"))
+
+
+def dictionary_changes(old: AliasDictionary, new: AliasDictionary) -> dict[str, DataFrame]:
+    """What differs between two dictionaries: (kind, brand, key) of lookups that give another name, and names whose alias
+    lists differ. Only rows of the dictionaries are compared."""
+    def differ(before, after, keys, value):
+        both = before.withColumnRenamed(value, "was").join(after.withColumnRenamed(value, "now"), keys, "full_outer")
+        return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(*keys)
+    brands = [differ(old.brand_lookup(t), new.brand_lookup(t), ["category", f"key_{t}"], f"brand_{t}")
+              .withColumnRenamed(f"key_{t}", "key").withColumn("tier", F.lit(t)) for t in TIERS]
+    models = [differ(old.model_lookup(t), new.model_lookup(t), ["category", "lookup_brand", f"key_{t}"], f"model_{t}")
+              .withColumnRenamed(f"key_{t}", "key").withColumn("tier", F.lit(t)) for t in TIERS]
+    return {
+        "brand_keys": reduce(DataFrame.unionByName, brands), "model_keys": reduce(DataFrame.unionByName, models),
+        "brand_lists": differ(brand_alias_lists(old), brand_alias_lists(new), ["category", "brand"], "brand_aliases"),
+        "model_lists": differ(model_alias_lists(old), model_alias_lists(new), ["category", "brand", "model"], "model_aliases")}
+
+
+def affected_by_dictionary(items: DataFrame, old: AliasDictionary, new: AliasDictionary) -> DataFrame:
+    """Ids of items whose documents the change from one dictionary to the other alters.
+
+    The difference of the dictionaries is carried to the distinct names that can meet it: names under a changed lookup
+    key, and names whose canonical form has a changed alias list. Only these are named by both dictionaries and
+    compared; a name whose changed key is not the one that decides stays out.
+    """
+    change = dictionary_changes(old, new)
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("brand_name", "model_name")}
+    rows = items.select("id", "category", *[v.alias(c) for c, v in blank.items()])
+    names = rows.select("category", "brand_name", "model_name").distinct()
+
+    def keyed(name):
+        tiers = F.array(*[F.struct(F.lit(t).alias("tier"), key.alias("key")) for t, key in
+                          (("exact", strip(name)), ("lower", lower_key(name)), ("folded", match_key(name)))])
+        return F.inline(tiers)
+    triple = ["category", "brand_name", "model_name"]
+    known = canonical_model(canonical_brand(names, new), new).select(*triple, "brand_std", "model_std")
+    met = [names.select(*triple, keyed("brand_name")).join(change["brand_keys"], ["category", "tier", "key"], "left_semi"),
+           known.select(*triple, F.col("brand_std").alias("lookup_brand"), keyed("model_name"))
+           .join(change["model_keys"], ["category", "lookup_brand", "tier", "key"], "left_semi"),
+           known.withColumnRenamed("brand_std", "brand").join(change["brand_lists"], ["category", "brand"], "left_semi"),
+           known.withColumnsRenamed({"brand_std": "brand", "model_std": "model"})
+           .join(change["model_lists"], ["category", "brand", "model"], "left_semi")]
+    candidates = reduce(DataFrame.unionByName, [m.select(*triple) for m in met]).distinct()
+    before, after = (_alias_view(candidates, d).withColumnRenamed("view", v) for d, v in ((old, "was"), (new, "now")))
+    changed = before.join(after, triple).where(~F.col("was").eqNullSafe(F.col("now"))).select(*triple)
+    return rows.join(changed, triple, "left_semi").select("id")
+
+
 def refresh_documents(index: DataFrame, items: DataFrame, ids: DataFrame,
                       dictionary: AliasDictionary) -> DataFrame:
     """Rebuild the documents of the given items and put them into the index."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tanadex.functions import text
 from tanadex.model import MAX_PAGE_SIZE
-from tanadex.operators import prefixes, search
+from tanadex.operators import prefixes, search, segments
 from tanadex.operators.scale import saved
 from tanadex.plans.naming import canon, dictionary_of
 from tanadex.plans.registry import query
+from tanadex.sources.dictionary import AliasDictionary
 
 # ---- checks ---------------------------------------------------------------------------
 
@@ -179,6 +182,47 @@ def affected_items(i):
     return search.affected_items(i.catalog, _first_brand(i), models)
 
 
+# A dictionary before its last change: some brand aliases and models unknown, one brand under another name.
+OLD = """
+old_dictionary AS (
+  SELECT category, brand_ord, CASE WHEN brand = 'Brand#11' THEN 'Brand eleven' ELSE brand END AS brand, model_ord, model, alias_ord, alias
+  FROM dictionary WHERE NOT (model IS NULL AND alias LIKE '品牌2%') AND NOT (model IS NOT NULL AND model LIKE 'c%' AND alias_ord < 2))
+"""
+_STEPS = "bk b1 b2 b3 mk m1 m2 m3 branded named once bl ml docs".split()
+
+
+def _under_old(sql: str) -> str:
+    """The same steps under the old dictionary, with names of their own."""
+    for name in _STEPS:
+        sql = re.sub(rf"\b{name}\b", f"{name}_o", sql)
+    return re.sub(r"\bdictionary\b", "old_dictionary", sql)
+
+
+def _old_dictionary(i):
+    return AliasDictionary(saved(i.spark.sql("WITH " + OLD.replace("FROM dictionary", "FROM {d}") + " SELECT * FROM old_dictionary",
+                                             d=i.dictionary)))
+
+
+@query("affected_items_canonical", DOCS + ", " + OLD + _under_old(DOCS) + """
+SELECT n.id FROM docs n JOIN docs_o o ON n.id = o.id WHERE n.brand_std <> o.brand_std OR n.model_std <> o.model_std
+  OR n.brand_aliases <> o.brand_aliases OR n.model_aliases <> o.model_aliases""", "catalog", "dictionary")
+def affected_items_canonical(i):
+    return search.affected_by_dictionary(i.catalog, _old_dictionary(i), dictionary_of(i))
+
+
+@query("index_upsert", DOCS.replace("catalog", "still").replace(", bk AS", ", still AS (SELECT * FROM catalog WHERE status <> 'sold'), bk AS", 1)
+       + POSTINGS + "SELECT field, term, id, tf, doc_len FROM post", "catalog", "dictionary")
+def index_upsert(i):
+    """An index built under the old dictionary, brought up to date by the documents that the new one alters, less the
+    sold items: its living postings are those of a full rebuild."""
+    old, new = _old_dictionary(i), dictionary_of(i)
+    index = segments.SegmentedIndex(i.spark).upsert(search.build_documents(i.catalog, old))
+    ids = search.affected_by_dictionary(i.catalog, old, new)
+    index.upsert(search.build_documents(i.catalog.join(ids, "id", "left_semi"), new))
+    index.delete(i.catalog.where("status = 'sold'").select("id"))
+    return index.postings().drop("leads")
+
+
 @query("inspect_brand", DOCS + f"SELECT {FLAT} FROM docs WHERE brand_name = 'Brand#13'", "catalog", "dictionary")
 def inspect_brand(i):
     return _flat(search.inspect_brand(_docs(i), "Brand#13"))
