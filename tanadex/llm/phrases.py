@@ -25,8 +25,8 @@ SEEN = 2
 PLACES = 1 << 27
 BUCKET = 1 << 15
 # Bytes of text that are counted together, and rows that leave a task together.
-BATCH_BYTES = 2_000_000
-BATCH_ROWS = 50_000
+BATCH_BYTES = 1_000_000
+BATCH_ROWS = 20_000
 SALTS = 64
 WHOLE = "decimal(19,0)"
 COUNTED = "h long, name binary, n long"
