@@ -67,15 +67,19 @@ def alias_entries(dictionary: AliasDictionary) -> DataFrame:
         F.substring("f.key", 1, LEAD).alias("lead"), "f.key", "f.anywhere", hit.alias("hit"))
 
 
-def _best_hit(titles: DataFrame, entries: DataFrame, name: str, forms: dict[str, tuple[Column, Column]]) -> DataFrame:
+def key_lengths(entries: DataFrame) -> DataFrame:
+    """The lengths of the keys with each lead: few, however many aliases share it."""
+    return entries.groupBy(*MET, "lead").agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))
+
+
+def _best_hit(titles: DataFrame, entries: DataFrame, lengths: DataFrame, name: str,
+              forms: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Add ``name``: the best entry that begins at one of the given places of a text, null where none does.
 
     ``forms`` has for each form the text and the array of places (from 1). A place looks its lead up and gets the
-    lengths that keys with this lead have; only stretches of these lengths are looked up among the keys. Lengths are
-    few, however many aliases share a lead.
+    lengths that keys with this lead have; only stretches of these lengths are looked up among the keys.
     """
     others = [c for c in titles.columns if c not in KEY]
-    lengths = entries.groupBy(*MET, "lead").agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))
     form = F.array(*[F.struct(F.lit(f).alias("form"), text.alias("text"), places.alias("places"))
                      for f, (text, places) in forms.items()])
     each = titles.select("*", F.posexplode(form).alias("p0", "f")).select(
@@ -128,13 +132,14 @@ def _every(text: Column) -> Column:
 def title_names(titles: DataFrame, dictionary: AliasDictionary, audience=AUDIENCE_WORDS) -> DataFrame:
     """(title_category, clean_title) with brand_name, model_name and model_no; each title once, none of them blank."""
     entries = dictionary.small("title_entries", lambda: saved(alias_entries(dictionary)))
+    lengths = dictionary.small("title_lengths", lambda: saved(key_lengths(entries)))
     suffix, start = "|".join(audience), F.array(F.lit(1))
     line = F.regexp_replace("clean_title", rf"(?:(?:^| )(?:{suffix}))+$", "")
     named = titles.select(*KEY, line.alias("line"), F.lit("").alias("brand_found")).where(F.col("line") != "")
-    named = _best_hit(named, entries, "exact", {
+    named = _best_hit(named, entries, lengths, "exact", {
         AT_START: (F.col("clean_title"), start), AT_WORDS: (F.concat("line", F.lit(" ")), start)})
     missed = named.withColumn("folded", match_key(F.when(F.col("exact").isNull(), F.col("clean_title"))))
-    named = _best_hit(missed, entries, "near", {FOLDED: (F.col("folded"), F.when(F.col("folded") != "", start))})
+    named = _best_hit(missed, entries, lengths, "near", {FOLDED: (F.col("folded"), F.when(F.col("folded") != "", start))})
     words = _words(F.col("line"))
     brand, used = _named("exact", "near", words, F.col("clean_title"))
     known = dictionary.brand_lookup("exact").select(
@@ -143,10 +148,10 @@ def title_names(titles: DataFrame, dictionary: AliasDictionary, audience=AUDIENC
                           F.array_join(_after(words, used), " ").alias("rest"))
              .join(known, ["title_category", "brand_name"], "left"))
     begins = F.transform(F.split(F.concat(F.lit(" "), "rest"), ""), lambda c, i: F.when(c == " ", i + 1))
-    named = _best_hit(named, entries, "exact", {
+    named = _best_hit(named, entries, lengths, "exact", {
         AT_START: (F.col("rest"), start), AT_WORDS: (F.concat("rest", F.lit(" ")), F.array_compact(begins))})
     missed = named.withColumn("folded", match_key(F.when(F.col("exact").isNull() & F.col("brand_found").isNotNull(), F.col("rest"))))
-    named = _best_hit(missed, entries, "near", {FOLDED: (F.col("folded"), _every(F.col("folded")))})
+    named = _best_hit(missed, entries, lengths, "near", {FOLDED: (F.col("folded"), _every(F.col("folded")))})
     words = _words(F.col("rest"))
     model, used = _named("exact", "near", words, F.col("rest"))
     # As many leading words are dropped as the alias has, wherever it was found.
@@ -169,7 +174,9 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
     kept = [c for c in items.columns if c not in (*NAME_FIELDS, "clean_title")]
     category = F.coalesce("category", F.lit("")) if "category" in kept else F.lit(DEFAULT_CATEGORY)
     rows = items.select(*kept, category.alias("title_category"), clean_title(F.col(title)).alias("clean_title"))
-    distinct = rows.select(*KEY).where(F.col("clean_title") != "").distinct()
+    # Few bytes, but much work for each title: as many tasks as the session has for a shuffle, not as few as bytes suggest.
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = rows.select(*KEY).where(F.col("clean_title") != "").distinct().repartition(tasks, *KEY)
     return rows.join(title_names(distinct, dictionary, audience), KEY, "left").select(*kept, "clean_title", *NAME_FIELDS)
 
 

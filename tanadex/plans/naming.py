@@ -328,7 +328,7 @@ FROM s4"""
 
 @query("split_title", ", " + TITLES, "titles", "dictionary")
 def split_title(i):
-    return titles.split_titles(i.titles, dictionary_of(i)).select(
+    return titles.split_titles(saved(i.titles), dictionary_of(i)).select(
         "id", "clean_title", "brand_name", "model_name", "model_no")
 
 

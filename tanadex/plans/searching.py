@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tanadex.functions import text
 from tanadex.model import MAX_PAGE_SIZE
-from tanadex.operators import prefixes, search, segments
+from tanadex.operators import bounded, prefixes, search, segments
 from tanadex.operators.scale import saved
 from tanadex.plans.naming import canon, dictionary_of
 from tanadex.plans.registry import query
@@ -335,7 +335,9 @@ SELECT query_id, id, score, CAST(rank AS INT) AS rank, total FROM (
     count(*) OVER (PARTITION BY query_id) AS total FROM kept) x WHERE rank <= 20""",
        "catalog", "dictionary", "search_queries")
 def search_ranked(i):
-    return search.search(i.search_queries, _docs(i)).select("query_id", "id", "score", "rank", "total")
+    docs = _docs(i)
+    found = bounded.search_ranked(i.search_queries, docs, bounded.build_index(docs))
+    return found.select("query_id", "id", "score", "rank", "total")
 
 
 # ---- suggestions ---------------------------------------------------------------------------
