@@ -14,6 +14,8 @@ from tanadex.operators.scale import saved
 BLOCK = 1024
 # Ranges of names that are cut into blocks side by side.
 RANGES = 1024
+# Pages whose worth of documents, by blocks that can bring most, gives a query its threshold.
+FIRST_PAGES = 4
 # Room for rounded scores and for sums in another order.
 SLACK = 1e-5
 
@@ -108,7 +110,7 @@ def search_page(queries: DataFrame, docs: DataFrame, index: RankedIndex, page: i
     """The answer of ``search.search`` by score, for queries that do not ask for everything, without scoring every hit.
 
     A block can bring a query no more than the weighted largest gains of its terms there. The blocks that can bring
-    most, as many as hold a page, are scored first and give a score that the page's last row reaches at least; blocks that cannot reach it
+    most, as many as hold a few pages, are scored first and give a score that the page's last row reaches at least; blocks that cannot reach it
     are left out, so the page is exact, ties included. If a query has exact hits, only those count, and only blocks that
     hold one. Totals come from the ids of the blocks, without scores.
     """
@@ -129,8 +131,8 @@ def search_page(queries: DataFrame, docs: DataFrame, index: RankedIndex, page: i
         return marked.where(F.col("exact") | F.col("n_exact").isNull()).drop("exact", "n_exact")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
     before = F.sum("n").over(W.partitionBy("query_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    first = (bounds.withColumn("k", place).where(F.col("k") <= wanted).withColumn("before", F.coalesce(before, F.lit(0)))
-             .where(F.col("before") < wanted).select("query_id", "block"))
+    first = (bounds.withColumn("k", place).where(F.col("k") <= FIRST_PAGES * wanted).withColumn("before", F.coalesce(before, F.lit(0)))
+             .where(F.col("before") < FIRST_PAGES * wanted).select("query_id", "block"))
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     reached = allowed(_scores(first, met, index)).withColumn("k", order).where(F.col("k") == wanted).select("query_id", "score")
     scored = saved(bounds.join(reached, "query_id", "left").where(

@@ -9,6 +9,7 @@ from tanadex.operators.scale import shared_path
 from tanadex.plans.columns import IMAGE_NAME, _image_urls
 from tanadex.plans.naming import LISTED, listed
 from tanadex.plans.registry import query
+from tanadex.sources import files
 from tanadex.sources.files import read_key_value_items, write_key_value_text
 
 SHOWN = ("id", "price", "status", "category", "first_seen_dt")
@@ -84,3 +85,17 @@ def image_missing_keys(i):
 
 
 __all__ = ["IMAGE_NAME"]
+
+
+@query("object_listing", """
+SELECT DISTINCT site, CASE WHEN site = 'shop3.example' THEN 0 ELSE 1 END::BIGINT AS n_objects,
+  coalesce((SELECT sum(length(CAST(id AS VARCHAR)) + 1) FROM listing w WHERE w.site = l.site AND site <> 'shop3.example'
+            AND status <> 'removed'), 0)::BIGINT AS n_bytes FROM listing l""", "listing")
+def object_listing(i):
+    """Objects and bytes stored below each site's folder; one site has none."""
+    path = shared_path(i.spark)
+    stored = i.listing.where("status <> 'removed' AND site <> 'shop3.example'")
+    (stored.select("site", F.col("id").cast("string").alias("value")).repartition(1)
+     .write.partitionBy("site").text(path))
+    sites = i.listing.select("site").distinct()
+    return files.objects_of(sites, files.list_objects(i.spark, path), F.concat(F.lit("site="), "site", F.lit("/")))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tanadex.functions.strategies import STRATEGIES
 from tanadex.operators import extract, images, quality
+from tanadex.operators.scale import shared_path
 from tanadex.plans.registry import query
-from tanadex.sources.files import read_pages
+from tanadex.sources.files import read_jsonl, read_pages, typed_fields, write_jsonl
 from tanadex.sources.rules import parse_profile
 
 ANCHOR = r"<a\s[^>]*>.*?</a>"
@@ -255,3 +256,20 @@ def resource_match(i):
     wanted = links.select("page_id", F.col("pos").alias("spot"), F.concat("href", F.lit("?v=1")).alias("image_url"))
     resources = links.select("page_id", "pos", found.alias("resource_url"))
     return images.match_resources(wanted, resources).drop("resource_pos")
+
+
+@query("jsonl_roundtrip", "WITH " + LINKS + ", " + ITEMS + """
+SELECT item.page_id, item.url, pos, product_url, item_id, model_name, CAST(length(p.html) AS INT) AS n_chars
+FROM item JOIN pages p ON p.page_id = item.page_id""")
+def jsonl_roundtrip(i):
+    """Extracted records written as lines without a schema, one field of another type among them, and read by rules."""
+    path = shared_path(i.spark)
+    records = _records(i, NAVIGATION).join(_pages(i).select("page_id", F.char_length("html").alias("n_chars")), "page_id")
+    odd = F.to_json(F.struct("page_id", "url", F.lit("none").alias("n_chars")))
+    write_jsonl(records.select("page_id", "url", "items", "errors", "n_chars"), path)
+    records.select(odd.alias("value")).write.mode("append").text(path)  # records of the same pages with text for a number
+    stored = read_jsonl(i.spark, path).select(*typed_fields(F.col("record"), {
+        "page_id": ("$.page_id", "bigint"), "url": ("$.url", "string"), "n_chars": ("$.n_chars", "int"),
+        "items": ("$.items", "array<map<string,string>>")})).where(F.col("n_chars").isNotNull())
+    return stored.select("page_id", "url", "n_chars", F.posexplode("items").alias("pos", "item")).select(
+        "page_id", "url", "pos", *[F.try_element_at("item", F.lit(f)).alias(f) for f in ("product_url", "item_id", "model_name")], "n_chars")

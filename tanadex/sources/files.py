@@ -54,6 +54,17 @@ def write_jsonl(records: DataFrame, path: str) -> None:
     records.select(*kept).write.mode("append").json(path)
 
 
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(record, line) of stored records whose fields no schema fixes; ``record`` is null for a line that is no JSON."""
+    lines = spark.read.text(path).where(strip("value") != "")
+    return lines.select(F.try_parse_json("value").alias("record"), F.col("value").alias("line"))
+
+
+def typed_fields(record: Column, rules: dict[str, tuple[str, str]]) -> list[Column]:
+    """A column for each rule ``name: (path, type)``; null where the field is missing or of another type."""
+    return [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind) in rules.items()]
+
+
 def key_value_text(columns) -> Column:
     """``key: value`` lines of the non-null columns; a multi-line value starts a new line."""
     lines = []
@@ -126,6 +137,19 @@ def list_objects(spark: SparkSession, path: str, prefix: str = "",
             .where(F.col("key").startswith(prefix)))
 
 
+def objects_of(wanted: DataFrame, objects: DataFrame, prefix: Column) -> DataFrame:
+    """``wanted`` with the number and bytes of the objects that lie below each row's prefix, a whole folder or key.
+
+    Keys meet prefixes by equality with each of their own beginnings that ends at a slash or at the end of the key.
+    """
+    parts = F.split("key", "/")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below = objects.select("length", F.explode(begins).alias("_prefix")).groupBy("_prefix").agg(
+        F.count(F.lit(1)).alias("n_objects"), F.sum("length").alias("n_bytes"))
+    return (wanted.withColumn("_prefix", F.regexp_replace(prefix, "/+$", "")).join(below, "_prefix", "left").drop("_prefix")
+            .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_objects", "n_bytes")}))
+
+
 def read_table(spark: SparkSession, url: str, table: str, lower: int, upper: int,
                partitions: int, key: str = "id", **options) -> DataFrame:
     """Relational table read in parallel by ranges of a numeric key."""
