@@ -139,6 +139,7 @@ class Counter:
         self.tied: dict[str, int] = {}
         self.bare: dict[str, int] = {}
         self.runs: dict[int, int] = {}
+        self.joins: dict[str, bool] = {}
 
     def run(self, n: int) -> int:
         """Tokens of n marks in a row: they fill the longest piece from the left, then the rest."""
@@ -173,6 +174,7 @@ class Counter:
         if len(self.tied) + len(self.bare) > KEPT_WORDS:
             self.tied.clear()
             self.bare.clear()
+            self.joins.clear()
         split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         known = set().union(*split)
         wide = "" in known
@@ -203,24 +205,16 @@ class Counter:
         return total + (self.run(spaces - 1) if spaces > 1 else 0)
 
     def joined(self, word: str) -> bool:
-        """Whether the mark before a word merges with it."""
-        return MARK + word[0] in self.merges.beside and _first_token(MARK + word, self.merges) != MARK
-
-
-def _first_token(word: str, merges: Merges) -> str:
-    """First token of one pre-token, by one-by-one merging; only asked for words after two or more spaces."""
-    parts = list(word)
-    while True:
-        ranks = [(merges_rank(a, b, merges), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))]
-        best = min(ranks, default=(NEVER, 0))
-        if best[0] >= NEVER:
-            return parts[0]
-        parts[best[1]:best[1] + 2] = ["".join(parts[best[1]:best[1] + 2])]
-
-
-def merges_rank(a: str, b: str, merges: Merges) -> int:
-    left, right = merges.symbol.get(a, -1), merges.symbol.get(b, -1)
-    return int(merges.pairs.find(np.array([left]), np.array([right]))[0][0])
+        """Whether the mark before a word merges with it: the first token up to the first safe cut is not the mark."""
+        beside, symbol = self.merges.beside, self.merges.symbol
+        if MARK + word[0] not in beside:
+            return False
+        if word not in self.joins:
+            whole = MARK + word
+            cut = next((k for k in range(2, len(whole)) if whole[k - 1:k + 1] not in beside), len(whole))
+            symbols = np.array([symbol.get(c, -1) for c in whole[:cut]], np.int64)
+            self.joins[word] = bool(merged(symbols, np.zeros(cut, np.int64), 1, self.merges.pairs)[0][0] != symbol[MARK])
+        return self.joins[word]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

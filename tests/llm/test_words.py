@@ -189,3 +189,20 @@ def test_clean_text_has_no_spans(spark):
     for d, t, *_ in rows:
         assert got[repr(d)] == (sum(k == 0 for _, k, _ in brute_identifiers(t or "")), private.written(private.spans_of(t or "")[1]))
     assert private.personal_data(empty(spark)).count() == 0
+
+
+def test_long_words_after_two_spaces_are_counted_in_time():
+    """A word of 200,000 characters behind a double space, repeated or of random letters, as the library counts it."""
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+    path = public_tokenizers.path(tokens.MODEL)
+    library, counter = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Counter(path)
+    rng = random.Random(6)
+    texts = ["a  Fnq7" + "ab" * 100_000, "a   " + "x" * 50_000, "  the", "a  the  of", "b  ▁▁x", "a  漢 漢  é",
+             "a  " + "".join(rng.choice("abcdefgh") for _ in range(20_000))]
+    start = time.time()
+    got = counter.count(texts)
+    assert time.time() - start < 60
+    assert got == [len(library.encode(t)) for t in texts]
