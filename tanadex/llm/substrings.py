@@ -12,7 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tanadex.llm.common import saved
+from tanadex.llm.common import SPACE_CHARS, saved
 
 # Words of a repeat, and of an anchor block. A window of 2 * BLOCK words or more holds a whole block of its document.
 WINDOW = 20
@@ -24,6 +24,7 @@ KEPT_WORDS = 300_000
 # Odd multipliers of the rolling hashes.
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST_ID = np.iinfo(np.int64).max
+SEPARATORS = [c.encode() for c in SPACE_CHARS]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -124,7 +125,7 @@ def packed(docs: DataFrame) -> DataFrame:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t or b"")
-                size += (t or b"").count(b" ") + 1
+                size += sum(map((t or b"").count, SEPARATORS)) + 1
                 if size > CHUNK_WORDS:
                     yield row()
                     made, ids, texts, size = made + 1, [], [], 0
