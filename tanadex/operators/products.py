@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tanadex.model import DEFAULT_CATEGORY
 from tanadex.operators.names import normalize_items
-from tanadex.operators.scale import dense_number
+from tanadex.operators.scale import quantile_number, saved
 from tanadex.sources.dictionary import AliasDictionary
 
 KEY = ("category", "brand_std", "model_std", "model_no_std")
@@ -33,10 +33,10 @@ def new_products(keyed: DataFrame, existing: DataFrame | None = None) -> DataFra
     groups = (keyed.where("complete").groupBy(*KEY).agg(F.min("id").alias("first_item"))
               .withColumnsRenamed(dict(zip(KEY, PRODUCT_NAMES, strict=True))))
     if existing is None:
-        return dense_number(groups, "first_item", name="id").select("id", *PRODUCT_NAMES)
+        return quantile_number(saved(groups), "first_item", name="id").select("id", *PRODUCT_NAMES)
     groups = groups.join(existing.select(*PRODUCT_NAMES), list(PRODUCT_NAMES), "left_anti")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    numbered = dense_number(groups, "first_item", name="no")
+    numbered = quantile_number(saved(groups), "first_item", name="no")
     return numbered.select((F.col("no") + top).alias("id"), *PRODUCT_NAMES)
 
 

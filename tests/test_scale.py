@@ -1,12 +1,13 @@
 """Numbering, repeated keys, and functions sent to executors."""
 
+import os
+import random
 import subprocess
 import sys
-import os
 
 from pyspark.sql import functions as F
 
-from tanadex.operators.scale import dense_number
+from tanadex.operators.scale import dense_number, quantile_number
 from tanadex.sources.files import parse_key_value_text
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -18,6 +19,25 @@ def test_rows_without_a_key_are_numbered_first(spark):
     assert [(r.k, r.pos, r.n) for r in got] == [(None, 1, 1), (None, 2, 2), (-3, 1, 3), (5, 1, 4), (1 << 40, 1, 5)]
 
 
+def test_sparse_keys_fall_into_even_ranges(spark):
+    """Random 64-bit keys, repeated and null ones: numbered as a sort numbers them, and no range holds many."""
+    rng = random.Random(1)
+    keys = [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(20_000)] + [None, None] + [7] * 5
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, pos int").repartition(8)
+    got = quantile_number(rows, "k", "pos", name="n", start=11).orderBy("n").collect()
+    want = sorted(((k, n) for n, k in enumerate(keys)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.pos, r.n) for r in got] == [(*w, 11 + i) for i, w in enumerate(want)]
+    plan = quantile_number(rows, "k", "pos", name="n")
+    assert quantile_number(rows.limit(0), "k", name="n").count() == 0 and plan.count() == len(keys)
+    import bisect
+    bounds = rows.agg(F.percentile_approx("k", [i / 256 for i in range(1, 256)], 10_000)).first()[0]
+    sizes = [0] * 256
+    for k in keys:
+        if k is not None:
+            sizes[bisect.bisect_right(bounds, k)] += 1
+    assert max(sizes) < 3 * len(keys) / 256
+
+
 def test_last_line_of_a_repeated_key_counts(spark):
     text = spark.createDataFrame([("a: 1\nb: 2\na: 3",)], "t string")
     assert text.select(parse_key_value_text(F.col("t")).alias("m")).first().m == {"a": "3", "b": "2"}
