@@ -21,6 +21,8 @@ STRATEGIES: dict[str, Callable[[Column, dict], Column]] = {}
 # Names of the character references of HTML; a no-break space is read as a space.
 ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")} | {"nbsp": " "}
 LAST_POINT, SURROGATES = 0x10FFFF, (0xD800, 0xDFFF)
+# Patterns that begin so name a tag whose elements may hold each other.
+NESTED = "nested:"
 JSON_LD = (r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>")
 
 
@@ -81,11 +83,51 @@ def attribute_candidates(markup: Column, names) -> Column:
         *[let(_tag_value(tag, n), blank_to_null) for n in names], _tag_value(tag, names[-1])))
 
 
+def nested_elements(markup: Column, tag: str) -> Column:
+    """``array<struct<at, level, markup>>`` of all whole elements of a tag, in order of their beginnings, level 0 outside.
+
+    The markup is cut before every opening and closing tag of that name. Of the n-th opening tag, ``2 n`` less its place
+    among all tags is the level; closing tags likewise. On one level both alternate, so in order of level and place an
+    element ends with its neighbour. Nothing is read twice: the work is that of sorting the tags, however deep they lie.
+    An element without an end is none, nor is an end without a beginning.
+    """
+    opening, closing = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)^</{tag}\s*>"
+    pieces = F.split(markup, rf"(?i)(?=<{tag}[\s/>])|(?=</{tag}\s*>)", -1)
+    kind = "struct<level:int,at:int,ends:boolean>"
+
+    def walk(cut):
+        tags = F.filter(F.transform(cut, lambda c, i: F.struct(
+            i.alias("at"), F.when(c.rlike(opening), False).when(c.rlike(closing), True).alias("ends"))), lambda t: t["ends"].isNotNull())
+        placed = F.transform(tags, lambda t, i: F.struct(t["at"].alias("at"), t["ends"].alias("ends"), i.alias("i")))
+        begins = F.transform(F.filter(placed, lambda t: ~t["ends"]), lambda t, n: F.struct(
+            (2 * n - t["i"]).alias("level"), t["at"].alias("at"), t["ends"].alias("ends")).cast(kind))
+        ends = F.transform(F.filter(placed, lambda t: t["ends"]), lambda t, n: F.struct(
+            (t["i"] - 2 * n - 1).alias("level"), t["at"].alias("at"), t["ends"].alias("ends")).cast(kind))
+
+        def whole(order):
+            pairs = F.transform(order, lambda t, j: let(F.get(order, j + 1), lambda e: F.when(
+                ~t["ends"] & e["ends"] & (e["level"] == t["level"]), F.struct(t["at"].alias("at"), t["level"].alias("level"), F.concat(
+                    F.array_join(F.slice(cut, t["at"] + 1, e["at"] - t["at"]), ""),
+                    F.regexp_extract(F.get(cut, e["at"]), closing, 0)).alias("markup")))))
+            return F.array_sort(F.array_compact(pairs))
+        return let(F.array_sort(F.concat(begins, ends)), whole)
+    return let(pieces, walk)
+
+
+def _matches(markup: Column, pattern: str) -> Column:
+    if pattern == ":root":
+        return F.array(markup)
+    if pattern.startswith(NESTED):
+        tag, _, level = pattern.removeprefix(NESTED).partition("@")
+        found = nested_elements(markup, tag)
+        return F.transform(F.filter(found, lambda e: e["level"] == int(level)) if level else found, lambda e: e["markup"])
+    return F.regexp_extract_all(markup, F.lit(java_pattern(pattern, "is")), F.lit(0))
+
+
 def elements(markup: Column, patterns) -> Column:
-    """Matches of the first pattern that has any; ``:root`` is the markup itself."""
-    found = [F.array(markup) if p == ":root"
-             else F.regexp_extract_all(markup, F.lit(java_pattern(p, "is")), F.lit(0))
-             for p in patterns]
+    """Matches of the first pattern that has any; ``:root`` is the markup itself, ``nested:tag`` all whole elements of a
+    tag, ``nested:tag@0`` those of one level."""
+    found = [_matches(markup, p) for p in patterns]
     if len(found) == 1:
         return found[0]
     hits = F.filter(F.array(*found), lambda f: F.size(f) > 0)

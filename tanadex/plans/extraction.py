@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tanadex.functions.strategies import STRATEGIES
+from tanadex.functions.strategies import STRATEGIES, nested_elements
 from tanadex.operators import extract, images, quality
 from tanadex.operators.scale import shared_path
 from tanadex.plans.registry import query
@@ -273,3 +273,21 @@ def jsonl_roundtrip(i):
         "items": ("$.items", "array<map<string,string>>")})).where(F.col("n_chars").isNotNull())
     return stored.select("page_id", "url", "n_chars", F.posexplode("items").alias("pos", "item")).select(
         "page_id", "url", "pos", *[F.try_element_at("item", F.lit(f)).alias(f) for f in ("product_url", "item_id", "model_name")], "n_chars")
+
+
+# Page parts laid into elements that hold each other; the last one has no end.
+NESTING = """SELECT page_id, '<DIV class="i">' || h || ad || '</div>' AS inside, ad FROM (
+  SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract(html, '<div class="ad">[^<]*</div>', 0) AS ad
+  FROM {pages}) p"""
+
+
+@query("extract_nested_items", "WITH n AS (" + NESTING.replace("{pages}", "pages") + """),
+o AS (SELECT *, '<div class="o">x' || inside || '<div>y</div></div >' AS outside FROM n),
+e AS (SELECT page_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([0, 1, 2, 1, 0]) AS level,
+  unnest([outside, inside, ad, '<div>y</div>', '<div>z</div>']) AS markup FROM o)
+SELECT page_id, CAST(pos AS INT) AS pos, CAST(level AS INT) AS level, markup FROM e""")
+def extract_nested_items(i):
+    nested = i.spark.sql(NESTING, pages=i.table("pages"))
+    html = F.concat(F.lit("<p><div class=\"o\">x"), "inside", F.lit("<div>y</div></div ><divx></p><div>z</div><div>open"))
+    found = nested.select("page_id", F.posexplode(nested_elements(html, "div")).alias("pos", "e"))
+    return found.select("page_id", "pos", "e.level", "e.markup")
