@@ -55,8 +55,9 @@ def extract_to_log(pages: DataFrame, profiles, log_path: str, checkpoint: str, o
 
 
 def _last_log_id(spark: SparkSession, path: str, batch: int) -> int:
-    if batch == 0:
-        return 0
-    rows = spark.read.parquet(path).where(F.col("batch") < batch)
-    return rows.agg(F.max("log_id")).first()[0] or 0
-
+    """Largest id of the batches before: ids rise from batch to batch, so the last one with rows has it."""
+    for before in range(batch - 1, -1, -1):
+        last = spark.read.schema("log_id long, batch int").parquet(path).where(F.col("batch") == before).agg(F.max("log_id")).first()[0]
+        if last is not None:
+            return last
+    return 0
