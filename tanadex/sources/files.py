@@ -6,7 +6,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tanadex.functions import scalars
-from tanadex.functions.text import strip
+from tanadex.functions.text import let, strip
 from tanadex.model import PAGE_SCHEMA
 
 # Keys of the stored item text files.
@@ -94,13 +94,22 @@ def parse_key_value_text(text: Column, keys=None) -> Column:
     that there are; without it any word is one. A line of a value that looks like a key is read as one.
     """
     key = "|".join(keys) if keys else r"\w+"
-    one, many = rf"^({key}): ([^\r\n]*)", rf"^({key}):\r?\n([\s\S]*)$"
-    entries = F.filter(F.split(text, rf"\r?\n(?=(?:{key}):(?: |\r?\n))", -1), lambda x: x.rlike(one) | x.rlike(many))
-    pairs = F.transform(entries, lambda x: F.when(x.rlike(one), F.struct(
-        F.regexp_extract(x, one, 1).alias("key"), F.regexp_extract(x, one, 2).alias("value"))).otherwise(F.struct(
-            F.regexp_extract(x, many, 1).alias("key"), F.regexp_extract(x, many, 2).alias("value"))))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    starts = rf"(?:{key}):(?: |\r?\n)"
+
+    def pair(entry):  # a key holds no colon, and every entry but the first is known to begin with one
+        name = F.substring_index(entry, ":", 1)
+        rest = F.substring(entry, F.length(name) + 2, F.length(entry))
+        line = F.substring_index(F.substring_index(F.substring(rest, F.lit(2), F.length(rest)), "\n", 1), "\r", 1)
+        below = F.substring(rest, F.when(rest.startswith("\r"), 3).otherwise(2), F.length(rest))
+        return F.struct(name.alias("key"), F.when(rest.startswith(" "), line).otherwise(below).alias("value"))
+
+    def last(pairs):  # split once per row, then compared by key alone
+        return let(F.transform(pairs, lambda p: p["key"]), lambda names: F.when(
+            F.size(F.array_distinct(names)) == F.size(names), pairs).otherwise(F.filter(
+                pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"]))))
+    entries = F.filter(F.split(text, rf"\r?\n(?={starts})", -1), lambda x, i: F.when(
+        i > 0, F.instr(x, ":") < F.length(x)).otherwise(x.rlike(rf"^{starts}")))
+    return F.map_from_entries(let(F.transform(entries, pair), last))
 
 
 def read_key_value_items(spark: SparkSession, path: str, keys=TEXT_KEYS) -> DataFrame:

@@ -127,6 +127,15 @@ def test_stored_texts_are_read_back(spark, tmp_path):
     assert sorted(map(tuple, got)) == [r[1:] for r in rows]
 
 
+def test_stored_texts_are_split_once(spark):
+    """The text of a row is split once, not once for each comparison of its entries; entries without a value stay out."""
+    text = spark.createDataFrame([("a: 1\r\nb:\nx: y\nc:\n1\n2\na: 3\nb:\nc: z",), ("no\na: 1",), ("",), (None,)], "t string")
+    found = text.select(files.parse_key_value_text(F.col("t"), ("a", "b", "c")).alias("m"))
+    assert [r.m for r in found.collect()] == [{"a": "3", "c": "z"} | {"b": "x: y"}, {"a": "1"}, {}, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract") == 0
+
+
 def test_src_kv_text_writes_files(spark, tmp_path, monkeypatch):
     from tanadex.plans import catalogue
     from tanadex.plans.registry import QUERIES
