@@ -286,6 +286,22 @@ def test_suggestions_from_an_index(spark, docs):
     assert prefixes.suggest_batch(whole, table.limit(0)).count() == prefixes.prefix_index(docs.limit(0)).count() == 0
 
 
+def test_documents_of_like_names_share_their_entries(spark, docs):
+    """Documents that differ in number alone give the entries of their names once, and the points of each number still count."""
+    many = docs.limit(3).select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).withColumns({
+        "id": F.col("id") + 1000 * F.col("k"), "model_no": F.concat(F.when(F.col("k") % 2 == 0, "R").otherwise("9"), F.col("k").cast("string"))})
+    many = saved(many.withColumn("search_text", F.concat_ws(" ", F.array_join("brand_aliases", " "), "model_no")).drop("k"))
+    names = prefixes.prefix_entries(many).where("pos <> 2")
+    once = names.groupBy("cased", "prefix", "term", "pos", "score").count()
+    assert names.count() < 3 * once.count()
+    table = spark.createDataFrame([(p,) for p in ("r", "R", "ro", "RO", "9", "R1", "r1", "91")], "prefix string")
+    got = {}
+    for r in prefixes.suggest_batch(saved(prefixes.prefix_index(many, 3)), table, 3).orderBy("prefix", "place").collect():
+        got.setdefault(r.prefix, []).append(r.term)
+    for r in table.collect():
+        assert got.get(r.prefix, []) == [x.term for x in search.suggest(many, r.prefix, 3).collect()], r.prefix
+
+
 def test_index_upkeep(spark, items, docs, dictionary):
     ids = search.affected_items(items, spark.createDataFrame([("Rolex",)], "brand_name string"))
     assert [r.id for r in ids.collect()] == [8]  # stored spelling only
