@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tanadex.operators import images, listing
-from tanadex.operators.scale import shared_path
+from tanadex.operators.scale import saved, shared_path
 from tanadex.plans.columns import IMAGE_NAME, _image_urls
 from tanadex.plans.naming import LISTED, listed
 from tanadex.plans.registry import query
@@ -13,6 +13,8 @@ from tanadex.sources import files
 from tanadex.sources.files import read_key_value_items, write_key_value_text
 
 SHOWN = ("id", "price", "status", "category", "first_seen_dt")
+# Rows that an object's lines are packed into.
+OBJECT_PARTS = 1024
 TEXTS = ("product_url", "brand_name", "model_name", "model_no", "price", "category")
 
 
@@ -94,8 +96,12 @@ SELECT DISTINCT site, CASE WHEN site = 'shop3.example' THEN 0 ELSE 1 END::BIGINT
 def object_listing(i):
     """Objects and bytes stored below each site's folder; one site has none."""
     path = shared_path(i.spark)
-    stored = i.listing.where("status <> 'removed' AND site <> 'shop3.example'")
-    (stored.select("site", F.col("id").cast("string").alias("value")).repartition(1)
-     .write.partitionBy("site").text(path))
-    sites = i.listing.select("site").distinct()
+    stored = i.listing.where("status <> 'removed' AND site <> 'shop3.example'").select("site", F.col("id").cast("string").alias("line"))
+    # An object is a file, written by one task: lines are packed into few rows, and each site goes to a task of its own.
+    packed = (stored.groupBy("site", F.pmod(F.xxhash64("line"), F.lit(OBJECT_PARTS)).alias("part"))
+              .agg(F.array_join(F.collect_list("line"), "\n").alias("value")))
+    sites = saved(i.listing.select("site").distinct())
+    place = sites.select("site", F.row_number().over(W.orderBy("site")).alias("place"))
+    (packed.select("site", "value").join(F.broadcast(place), "site").repartitionById(sites.count() + 1, F.col("place"))
+     .select("site", "value").write.partitionBy("site").text(path))
     return files.objects_of(sites, files.list_objects(i.spark, path), F.concat(F.lit("site="), "site", F.lit("/")))

@@ -145,6 +145,17 @@ def test_src_kv_text_writes_files(spark, tmp_path, monkeypatch):
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
 
 
+def test_objects_of_sites_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """One object a site, each written by a task of its own, with a line for each item."""
+    from tanadex.plans import catalogue
+    from tanadex.plans.registry import QUERIES
+    monkeypatch.setattr(catalogue, "shared_path", lambda _: str(tmp_path / "o"))
+    sizes = {r.site: (r.n_objects, r.n_bytes) for r in QUERIES["object_listing"](spark, "/root/testdata/sf0.001").collect()}
+    files_ = list((tmp_path / "o").rglob("part-*"))
+    assert len(files_) == sum(n for n, _ in sizes.values()) == len({f.name[:10] for f in files_}) > 5
+    assert sorted(f.stat().st_size for f in files_) == sorted(b for n, b in sizes.values() if n)
+
+
 def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     rows = random_rows(21, 90)
     log = spark.createDataFrame(rows, SCHEMA)
