@@ -66,3 +66,37 @@ def test_nothing_to_search(spark, docs):
     queries = spark.createDataFrame([(1, "alpha"), (2, "*")], "query_id long, query string")
     assert bounded.search_ranked(queries, none, bounded.build_index(none)).count() == 0
     assert bounded.search_ranked(queries.limit(0), docs, bounded.build_index(docs)).count() == 0
+
+
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_narrowed_hits_equal_judging_every_hit(spark, docs, fuzzy):
+    """Exact hits by equality of keys and the words of the other queries give what judging each hit gives."""
+    stars = docs.limit(700).unionByName(docs.limit(3).withColumns({"id": -F.col("id"), "brand_name": F.lit(" * ")}))
+    asked = QUERIES + ["P15 ", "ロレ", "alpha x", "delt"]
+    for rows, texts in ((docs, asked), (stars, asked), (stars, [q for q in asked if q != ""])):
+        queries = spark.createDataFrame(list(enumerate(texts, 1)), "query_id long, query string")
+        hits = search.match(queries, rows, fuzzy).unionByName(search.match_all(queries, rows))
+        judged = hits.join(rows, "id").join(queries, "query_id").withColumn("exact", search.is_exact(F.col("query")))
+        want = search.narrow(judged).select("query_id", "id", "exact").collect()
+        got = search.narrowed_hits(queries, rows, fuzzy).select("query_id", "id", "exact").collect()
+        assert sorted(got) == sorted(want) and want
+
+
+def test_hits_are_summed_where_postings_lie(spark, docs, monkeypatch):
+    """Postings are dealt by document in tasks of bounded size; the many hits take no shuffle of their own."""
+    queries = spark.createDataFrame(list(enumerate(QUERIES, 1)), "query_id long, query string")
+    want = search.match(queries, docs, fuzzy=False).collect()
+    monkeypatch.setattr(search, "TASK_POSTINGS", 1000)
+    found = search.match(queries, docs, fuzzy=False)
+    assert sorted(found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan and found.rdd.getNumPartitions() > 9
+
+
+def test_totals_of_exact_queries_read_no_ids(spark, docs):
+    """Queries with exact hits are counted by those; their blocks' ids are left alone."""
+    queries = spark.createDataFrame([(1, "alpha"), (2, "stele")], "query_id long, query string")
+    found = bounded.search_page(queries, docs, bounded.build_index(docs, 16), 1, 5)
+    want = search.search(queries, docs, 1, 5).select("query_id", "id", "total").collect()
+    assert sorted(found.rows.select("query_id", "id", "total").collect()) == sorted(want)
+    assert "LeftAnti" in found.rows._jdf.queryExecution().optimizedPlan().toString()
