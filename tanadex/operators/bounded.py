@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tanadex.functions.text import lower_key, tokens
 from tanadex.operators import search
 from tanadex.operators.scale import saved
 
@@ -80,22 +79,6 @@ def _scores(chosen: DataFrame, met: DataFrame, index: RankedIndex) -> DataFrame:
     return entries.groupBy("query_id", "id").agg(F.round(_best_field("gain"), search.SCORE_DIGITS).alias("score"))
 
 
-def exact_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id): documents of which a name, the number or an alias equals the query, by equality of keys.
-
-    Such a document matches the query if that has words at all, or if it is the number as written.
-    """
-    has_brand = F.coalesce("brand_name", F.lit("")) != ""
-    has_model = F.coalesce("model_name", F.lit("")) != ""
-    none = F.array().cast("array<string>")
-    keys = F.transform(F.concat(F.array("brand_name", "model_name", "model_no"), F.when(has_brand, F.col("brand_aliases")).otherwise(none),
-                                F.when(has_brand & has_model, F.col("model_aliases")).otherwise(none)), lower_key)
-    named = docs.select("id", "model_no", F.explode(F.array_distinct(keys)).alias("key")).where(F.col("key") != "")
-    asked = queries.select("query_id", "query", lower_key("query").alias("key"))
-    return (named.join(asked, "key").where((F.size(tokens("query")) > 0) | (F.col("model_no") == F.col("query")))
-            .select("query_id", "id"))
-
-
 @dataclass(frozen=True)
 class Search:
     """The rows of a page, and what it took: ``met`` blocks by query, of which ``scored`` were read."""
@@ -112,12 +95,12 @@ def search_page(queries: DataFrame, docs: DataFrame, index: RankedIndex, page: i
     A block can bring a query no more than the weighted largest gains of its terms there. The blocks that can bring
     most, as many as hold a few pages, are scored first and give a score that the page's last row reaches at least; blocks that cannot reach it
     are left out, so the page is exact, ties included. If a query has exact hits, only those count, and only blocks that
-    hold one. Totals come from the ids of the blocks, without scores.
+    hold one. Totals count those, or else come from the ids of the blocks, without scores.
     """
     wanted = page * page_size
     asked = queries.where(~search.is_match_all(F.col("query")))
-    exact = saved(exact_pairs(asked, docs))
-    narrowed = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
+    exact = saved(search.exact_pairs(asked, docs))
+    narrowed = saved(exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact")))
     met = saved(_weights(asked, index, fuzzy).join(index.blocks.select("field", "term", "block", "gain", "n"), ["field", "term"]))
     exact_blocks = exact.join(index.places, "id").groupBy("query_id", "block").agg(F.count(F.lit(1)).alias("holds"))
     # A block holds at least as many hits as one of its terms has documents, or as it has exact ones.
@@ -139,10 +122,10 @@ def search_page(queries: DataFrame, docs: DataFrame, index: RankedIndex, page: i
         F.col("score").isNull() | (F.col("bound") >= F.col("score") - SLACK)).select("query_id", "block"))
     hits = allowed(_scores(scored, met, index)).join(docs.select("id", "last_seen_dt"), "id")
     paged = search.page_of(hits, search.by_score(), page, page_size).drop("last_seen_dt")
-    held = (met.select("query_id", "field", "term", "block").join(index.blocks.select("field", "term", "block", "ids"), ["field", "term", "block"])
+    held = (met.join(narrowed, "query_id", "left_anti").select("query_id", "field", "term", "block").join(index.blocks.select("field", "term", "block", "ids"), ["field", "term", "block"])
             .groupBy("query_id", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("n")))
-    totals = held.groupBy("query_id").agg(F.sum("n").alias("n_hits")).join(narrowed, "query_id", "left").select(
-        "query_id", F.coalesce("n_exact", "n_hits").alias("total"))
+    totals = held.groupBy("query_id").agg(F.sum("n").alias("total")).unionByName(
+        narrowed.withColumnRenamed("n_exact", "total"))
     rows = paged.join(totals, "query_id").join(queries, "query_id").join(docs, "id")
     return Search(rows, met.select("query_id", "block").distinct(), scored)
 
