@@ -131,8 +131,8 @@ def _every(text: Column) -> Column:
 
 def title_names(titles: DataFrame, dictionary: AliasDictionary, audience=AUDIENCE_WORDS) -> DataFrame:
     """(title_category, clean_title) with brand_name, model_name and model_no; each title once, none of them blank."""
-    entries = dictionary.small("title_entries", lambda: saved(alias_entries(dictionary)))
-    lengths = dictionary.small("title_lengths", lambda: saved(key_lengths(entries)))
+    entries = dictionary.small("title_entries", lambda: alias_entries(dictionary))
+    lengths = dictionary.small("title_lengths", lambda: key_lengths(entries))
     suffix, start = "|".join(audience), F.array(F.lit(1))
     line = F.regexp_replace("clean_title", rf"(?:(?:^| )(?:{suffix}))+$", "")
     named = titles.select(*KEY, line.alias("line"), F.lit("").alias("brand_found")).where(F.col("line") != "")
