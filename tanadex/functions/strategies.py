@@ -145,15 +145,22 @@ def regex_strategy(html: Column, config: dict) -> Column:
     return strip(found) if config.get("strip", True) else found
 
 
+def jsonld_block(html: Column) -> Column:
+    """The first linked-data block that parses."""
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)), strip)
+    return F.get(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()), F.lit(0))
+
+
+def jsonld_value(block: Column, path: str | None) -> Column:
+    """What a block has at a path; a path miss gives the whole block."""
+    return F.coalesce(json_path(block, path), block) if path else block
+
+
 @strategy("jsonld")
 def jsonld_strategy(html: Column, config: dict) -> Column:
-    """The first linked-data block that parses decides; a path miss gives the whole block."""
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)), strip)
-    block = F.get(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()), F.lit(0))
+    """The first linked-data block that parses decides; for several paths of one page, take its block once."""
     path = config.get("path")
-    if not path:
-        return block
-    return let(block, lambda b: F.coalesce(json_path(b, path), b))
+    return let(jsonld_block(html), lambda b: jsonld_value(b, path)) if path else jsonld_block(html)
 
 
 def json_path(block: Column, path: str) -> Column:

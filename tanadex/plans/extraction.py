@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from tanadex.functions.strategies import STRATEGIES, nested_elements
+from tanadex.functions.strategies import STRATEGIES, jsonld_block, jsonld_value, nested_elements
 from tanadex.operators import extract, images, quality
-from tanadex.operators.scale import shared_path
+from tanadex.operators.scale import dealt, shared_path
 from tanadex.plans.registry import query
 from tanadex.sources.files import read_jsonl, read_pages, typed_fields, write_jsonl
 from tanadex.sources.rules import parse_profile
@@ -181,10 +181,9 @@ def extract_jsonld(i):
     block = F.lit("<script type=\"application/ld+json\">")
     html = F.concat(F.lit("<html>"), block, F.lit("{broken</script><p>x</p>"), block, F.lit("\n"), body,
                     F.lit("\n</script></html>"))
-    jsonld = STRATEGIES["jsonld"]
-    return i.table("part").select(
-        F.col("p_partkey").alias("id"), *[jsonld(html, {"path": p}).alias(n) for n, p in
-                                          (("name", "name"), ("size", "offer.size"), ("brand", "offer.by.brand"))])
+    pages = dealt(i.table("part"), "p_partkey").select(F.col("p_partkey").alias("id"), jsonld_block(html).alias("block"))
+    return pages.select("id", *[jsonld_value(F.col("block"), p).alias(n) for n, p in
+                                (("name", "name"), ("size", "offer.size"), ("brand", "offer.by.brand"))])
 
 
 @query("dedup_by_url", "WITH " + LINKS + """

@@ -38,6 +38,26 @@ def test_sparse_keys_fall_into_even_ranges(spark):
     assert max(sizes) < 3 * len(keys) / 256
 
 
+def test_compact_tables_are_dealt_by_rows(spark, monkeypatch):
+    """Costly work on a table of few bytes has tasks of bounded rows, and a page's linked data is parsed once."""
+    from tanadex.operators import scale
+    from tanadex.plans.registry import QUERIES
+    import tanadex.plans.extraction, tanadex.plans.searching  # noqa: E401, F401
+    monkeypatch.setattr(scale, "TASK_ROWS", 50)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    for name in ("postings", "extract_jsonld"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == parts // 50 + 1, name
+    plan = QUERIES["extract_jsonld"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_lookups_are_stored_once(spark):
+    """Lookup tables are files of known size when a join with them is planned."""
+    from tanadex.sources.dictionary import AliasDictionary
+    known = AliasDictionary.from_config(spark, {"Rolex": {"aliases": ["R"], "model_name": {"Daytona": {"aliases": ["D"]}}}})
+    assert known.brand_lookup("exact").inputFiles() and known.model_lookup("folded").inputFiles()
+
+
 def test_last_line_of_a_repeated_key_counts(spark):
     text = spark.createDataFrame([("a: 1\nb: 2\na: 3",)], "t string")
     assert text.select(parse_key_value_text(F.col("t")).alias("m")).first().m == {"a": "3", "b": "2"}
