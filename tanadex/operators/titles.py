@@ -6,7 +6,7 @@ of a title into a few keys, each key meets the aliases by equality, and one aggr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tanadex.functions.text import let, match_key, squeeze, strip
 from tanadex.model import DEFAULT_CATEGORY
@@ -33,6 +33,8 @@ MET = ["title_category", "brand_found", "form"]
 AT_START, AT_WORDS, FOLDED = "start", "words", "folded"
 # Characters of a key by which the lengths of keys are looked up.
 LEAD = 2
+# Hits of one length that a rank has room for.
+LENGTH_RANKS = 1 << 40
 
 
 def clean_title(title: Column) -> Column:
@@ -48,7 +50,8 @@ def alias_entries(dictionary: AliasDictionary) -> DataFrame:
     """Every alias under each key by which a title can meet it, with the hit that it gives.
 
     ``brand_found`` is empty for aliases of brands. Of the hits of a title the least is the best: the longest alias,
-    then dictionary order. ``anywhere`` marks keys that also count behind a title's first character.
+    then dictionary order. ``rank`` numbers the hits of a brand in that order, so that a title compares plain numbers.
+    ``anywhere`` marks keys that also count behind a title's first character.
     """
     rows = dictionary.rows.where(strip("alias") != "").withColumn("joined", F.array_join(_words(F.col("alias")), " "))
     is_brand = F.col("model").isNull()
@@ -62,9 +65,11 @@ def alias_entries(dictionary: AliasDictionary) -> DataFrame:
                     form(FOLDED, match_key("alias"), F.col("alias"), ~is_brand, F.lit(0)))
     hit = F.struct((-F.length("alias")).alias("neg_len"), F.coalesce("model_ord", "brand_ord").alias("ord"), "alias_ord",
                    F.col("f.prefer").alias("prefer"), F.col("f.text").alias("text"), F.size(_words(F.col("alias"))).alias("n"))
-    return rows.withColumn("f", F.explode(forms)).where(F.col("f.key") != "").select(
+    entries = rows.withColumn("f", F.explode(forms)).where(F.col("f.key") != "").select(
         F.col("category").alias("title_category"), F.when(is_brand, "").otherwise(F.col("brand")).alias("brand_found"), "f.form",
         F.substring("f.key", 1, LEAD).alias("lead"), "f.key", "f.anywhere", hit.alias("hit"))
+    nth = F.row_number().over(W.partitionBy("title_category", "brand_found", "hit.neg_len").orderBy("hit"))
+    return entries.withColumn("rank", F.col("hit.neg_len") * F.lit(LENGTH_RANKS) + nth)
 
 
 def key_lengths(entries: DataFrame) -> DataFrame:
@@ -77,23 +82,26 @@ def _best_hit(titles: DataFrame, entries: DataFrame, lengths: DataFrame, name: s
     """Add ``name``: the best entry that begins at one of the given places of a text, null where none does.
 
     ``forms`` has for each form the text and the array of places (from 1). A place looks its lead up and gets the
-    lengths that keys with this lead have; only stretches of these lengths are looked up among the keys.
+    lengths that keys with this lead have; only stretches of these lengths are looked up among the keys. What is gathered
+    for a title is the least rank, and its hit is looked up after that.
     """
-    others = [c for c in titles.columns if c not in KEY]
     form = F.array(*[F.struct(F.lit(f).alias("form"), text.alias("text"), places.alias("places"))
                      for f, (text, places) in forms.items()])
     each = titles.select("*", F.posexplode(form).alias("p0", "f")).select(
         *titles.columns, "p0", "f.form", "f.text", F.posexplode_outer("f.places").alias("p1", "at"))
     leads = F.array_distinct(F.array(*[F.substring("text", F.col("at"), F.lit(k)) for k in range(LEAD, 0, -1)]))
     each = each.select("*", F.posexplode_outer(leads).alias("p2", "lead")).join(lengths, [*MET, "lead"], "left")
+    # A title keeps one row besides its hits.
+    first = F.coalesce("p1", F.lit(0)) + F.coalesce("p2", F.lit(0)) + F.col("p0") == 0
+    each = each.where(F.col("lengths").isNotNull() | first)
     inside = F.filter("lengths", lambda k: F.col("at") + k - 1 <= F.length("text"))
     each = each.select("*", F.posexplode_outer(inside).alias("p3", "size")).withColumn(
         "key", F.substring("text", F.col("at"), F.col("size")))
-    fits = each.join(entries, [*MET, "lead", "key"], "left").withColumn(
-        "hit", F.when(F.col("anywhere") | (F.col("at") == 1), F.col("hit")))
-    # A title keeps one row besides its hits.
-    first = F.coalesce("p1", F.lit(0)) + F.coalesce("p2", F.lit(0)) + F.coalesce("p3", F.lit(0)) + F.col("p0") == 0
-    return fits.where(F.col("hit").isNotNull() | first).groupBy(*KEY, *others).agg(F.min("hit").alias(name))
+    fits = each.join(entries.drop("hit"), [*MET, "lead", "key"], "left").withColumn(
+        "rank", F.when(F.col("anywhere") | (F.col("at") == 1), F.col("rank")))
+    best = fits.where(F.col("rank").isNotNull() | first & (F.coalesce("p3", F.lit(0)) == 0)).groupBy(*titles.columns).agg(F.min("rank").alias("rank"))
+    of = ["title_category", "brand_found", "rank"]
+    return best.join(entries.select(*of, F.col("hit").alias(name)), of, "left").select(*titles.columns, name)
 
 
 def _cut(text: Column, alias: Column) -> Column:
@@ -125,6 +133,12 @@ def _after(words: Column, n: Column) -> Column:
     return F.slice(words, n + 1, F.greatest(F.size(words), F.lit(1)))
 
 
+def _gathered(titles: DataFrame) -> DataFrame:
+    """Titles in as many tasks as the session has for a shuffle, whatever their bytes: every step that follows works on
+    them in place, until a function outside the engine has run, which hides where they lie."""
+    return titles.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+
+
 def _every(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))
 
@@ -139,7 +153,7 @@ def title_names(titles: DataFrame, dictionary: AliasDictionary, audience=AUDIENC
     named = _best_hit(named, entries, lengths, "exact", {
         AT_START: (F.col("clean_title"), start), AT_WORDS: (F.concat("line", F.lit(" ")), start)})
     missed = named.withColumn("folded", match_key(F.when(F.col("exact").isNull(), F.col("clean_title"))))
-    named = _best_hit(missed, entries, lengths, "near", {FOLDED: (F.col("folded"), F.when(F.col("folded") != "", start))})
+    named = _best_hit(_gathered(missed), entries, lengths, "near", {FOLDED: (F.col("folded"), F.when(F.col("folded") != "", start))})
     words = _words(F.col("line"))
     brand, used = _named("exact", "near", words, F.col("clean_title"))
     known = dictionary.brand_lookup("exact").select(
@@ -151,7 +165,7 @@ def title_names(titles: DataFrame, dictionary: AliasDictionary, audience=AUDIENC
     named = _best_hit(named, entries, lengths, "exact", {
         AT_START: (F.col("rest"), start), AT_WORDS: (F.concat("rest", F.lit(" ")), F.array_compact(begins))})
     missed = named.withColumn("folded", match_key(F.when(F.col("exact").isNull() & F.col("brand_found").isNotNull(), F.col("rest"))))
-    named = _best_hit(missed, entries, lengths, "near", {FOLDED: (F.col("folded"), _every(F.col("folded")))})
+    named = _best_hit(_gathered(missed), entries, lengths, "near", {FOLDED: (F.col("folded"), _every(F.col("folded")))})
     words = _words(F.col("rest"))
     model, used = _named("exact", "near", words, F.col("rest"))
     # As many leading words are dropped as the alias has, wherever it was found.
@@ -168,16 +182,18 @@ def split_titles(items: DataFrame, dictionary: AliasDictionary, title: str = "ti
                  audience=AUDIENCE_WORDS) -> DataFrame:
     """Add clean_title, brand_name, model_name and model_no (null where not found).
 
-    Each distinct title is split once, whatever the number of its items, and joined back to them. Items without a
-    category are split by the dictionary of the default one if there is no such column, else by none.
+    Each distinct title is cleaned and split once, whatever the number of its items, and joined back to them. Items without
+    a category are split by the dictionary of the default one if there is no such column, else by none.
     """
     kept = [c for c in items.columns if c not in (*NAME_FIELDS, "clean_title")]
     category = F.coalesce("category", F.lit("")) if "category" in kept else F.lit(DEFAULT_CATEGORY)
-    rows = items.select(*kept, category.alias("title_category"), clean_title(F.col(title)).alias("clean_title"))
-    # Few bytes, but much work for each title: as many tasks as the session has for a shuffle, not as few as bytes suggest.
+    rows = items.select(*kept, category.alias("title_category"), F.col(title).alias("said"))
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = rows.select(*KEY).where(F.col("clean_title") != "").distinct().repartition(tasks, *KEY)
-    return rows.join(title_names(distinct, dictionary, audience), KEY, "left").select(*kept, "clean_title", *NAME_FIELDS)
+    said = rows.select("title_category", "said").distinct().repartition(tasks, "title_category", "said")
+    cleaned = saved(said.select("*", clean_title(F.col("said")).alias("clean_title")))
+    distinct = _gathered(cleaned.select(*KEY).where(F.col("clean_title") != "")).distinct()
+    split = cleaned.join(title_names(distinct, dictionary, audience), KEY, "left")
+    return rows.join(split, ["title_category", "said"], "left").select(*kept, "clean_title", *NAME_FIELDS)
 
 
 def split_title_fields(items: DataFrame, profiles: list[Profile], dictionary: AliasDictionary) -> DataFrame:

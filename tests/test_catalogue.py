@@ -183,6 +183,18 @@ def test_titles_against_a_scan_of_all_aliases(spark):
         assert (r.brand_name, r.model_name, r.model_no) == plain_split(r.title, config), r.title
 
 
+def test_titles_are_cleaned_once_and_hits_gathered_by_rank(spark, any_dictionary):
+    """Rows meet the answers by the title as written, so that cleaning is no part of their join, and no step sorts hits."""
+    lines = ["ROLEX  デイトナ 116500", "【x】ROLEX デイトナ 116500", "ROLEX  デイトナ 116500", None, "メンズ"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id int, title string")
+    found = titles.split_titles(frame, any_dictionary)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "【" not in plan
+    whole = ("ROLEX デイトナ 116500", "ROLEX", "デイトナ", "116500")
+    assert {r.id: (r.clean_title, r.brand_name, r.model_name, r.model_no) for r in found.collect()} == {
+        0: whole, 1: whole, 2: whole, 3: (None,) * 4, 4: ("メンズ", None, None, None)}
+
+
 def test_title_rule_of_a_profile(spark, any_dictionary):
     profile = rules.parse_profile({"name": "p", "parse": {"fields": {
         "heading": {"pattern": "<p>.*?</p>", "text": True, "transforms": [{"type": "strip"}, {"type": titles.RULE}]}}}})
