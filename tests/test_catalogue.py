@@ -272,6 +272,21 @@ def test_fuzzy_terms_are_complete(spark):
     assert got == {(t, v): osa(t, v) for t in terms for v in vocab if osa(t, v) <= room[t]}
 
 
+def test_few_fuzzy_queries_go_to_the_vocabulary(spark):
+    """The pieces of query terms are stored, so that few of them are broadcast and those of the vocabulary stay in place."""
+    terms = spark.createDataFrame([("f", "daytona")], "field string, term string")
+    vocab = spark.range(1000).select(F.lit("f").alias("field"), F.concat(F.lit("dayton"), "id").alias("term")).rdd.toDF()
+    close = search.fuzzy_terms(terms, vocab)
+    assert close.count() == 100  # one digit for the last letter, or two
+    plan = close._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_plain_letters_are_part_of_longer_tokens(spark):
+    row = spark.createDataFrame([("ABCé9я 漢aカナーbひ1-é2 ÉA",)], "t string").select(text.tokens("t").alias("t")).first()
+    assert row.t == ["abcé9я", "漢", "a", "カナー", "b", "ひ", "1", "é2", "éa"]
+
+
 def test_suggestions(docs):
     def terms(prefix, size=5):
         return [r.term for r in search.suggest(docs, prefix, size).orderBy("place").collect()]
