@@ -82,6 +82,36 @@ def test_narrowed_hits_equal_judging_every_hit(spark, docs, fuzzy):
         assert sorted(got) == sorted(want) and want
 
 
+def test_every_query_for_all_is_answered(spark, docs):
+    """Each blank query and each asterisk has its own hits: all documents, or those that bear the asterisk as a name."""
+    few = saved(docs.limit(50))
+    named = few.limit(2).withColumns({"id": -F.col("id"), "brand_name": F.lit(" * ")})
+    texts = ["", "*", "  ", " * ", None, "\u3000*", "alpha", "*"]
+    queries = spark.createDataFrame(list(enumerate(texts, 1)), "query_id long, query string")
+    every = {k: (q or "").strip() for k, q in enumerate(texts, 1) if q != "alpha"}
+    for rows in (few, saved(few.unionByName(named))):
+        ids = {r.id for r in rows.select("id").collect()}
+        stars = {i for i in ids if i < 0} or ids
+        want = {k: stars if q else ids for k, q in every.items()}
+        everything = search.match_all(queries, rows).collect()
+        assert sorted((r.query_id, r.id, r.score) for r in everything) == sorted((k, i, 1.0) for k in every for i in ids)
+        got = [r for r in search.narrowed_hits(queries, rows, False).collect() if r.query_id in every]
+        assert sorted((r.query_id, r.id) for r in got) == sorted((k, i) for k, found in want.items() for i in found)
+        assert all(r.exact == (len(want[r.query_id]) < len(ids)) for r in got)
+        paged = search.search(queries, rows, 1, 100, fuzzy=False).where(F.col("query_id") != 7).select("query_id", "id", "query", "total").collect()
+        assert sorted((r.query_id, r.id, r.query or "", r.total) for r in paged) == sorted(
+            (k, i, texts[k - 1] or "", len(found)) for k, found in want.items() for i in found)
+
+
+def test_few_queries_for_all_go_to_the_documents(spark, docs):
+    """The queries that ask for all are stored, so that few of them are broadcast, however many others there are."""
+    queries = spark.range(1 << 20).select(F.col("id").alias("query_id"), F.when(F.col("id") % 100_000 == 0, "*").otherwise("x").alias("query"))
+    found = search.match_all(saved(queries), docs)
+    assert found.count() == 11 * docs.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
 def test_hits_are_summed_where_postings_lie(spark, docs, monkeypatch):
     """Postings are dealt by document in tasks of bounded size; the many hits take no shuffle of their own."""
     queries = spark.createDataFrame(list(enumerate(QUERIES, 1)), "query_id long, query string")
